@@ -11,6 +11,7 @@ Only counts come to the driver: ``2**FIRST_BITS`` at first, then ``2**STEP_BITS`
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,8 @@ from .util import materialize, read
 
 FIRST_BITS, STEP_BITS = 12, 8
 ROW_BYTES = 16
+#: Up to so many copies of a text are listed rather than counted when a cut falls between them.
+LISTED = 256
 #: The sign bit; with it flipped, signed order is the order of the 64 bits.
 LOW = -(2**63)
 
@@ -44,12 +47,12 @@ def _slices(rows: DataFrame, key: str, starts: list[int], width: int, bits: int)
     return sorted(((r["cell"] % 2**64) << (width - bits), r["size"], r["n"]) for r in found)
 
 
-def _cuts(rows: DataFrame, key: str, targets: list[int], slack: int, start: int = 0, width: int = 64) -> list[tuple[int, int, bool]]:
-    """For each target (bytes that should precede the cut): (unsigned key, bytes before it, whether to cut inside its rows).
+def _cuts(rows: DataFrame, key: str, targets: list[int], slack: int, start: int = 0, width: int = 64) -> list[tuple[int, int, int]]:
+    """For each target (bytes that should precede the cut): (unsigned key, bytes before it, rows of the key if the cut lies inside them, else 0).
 
     Each round counts exactly and probes finer, until a boundary is within ``slack`` bytes of the target, or the slice
     holds one row (then the nearer side is taken) or one key (many rows of one key are to be cut inside)."""
-    done: dict[int, tuple[int, int, bool]] = {}
+    done: dict[int, tuple[int, int, int]] = {}
     todo = {t: (start, 0) for t in targets}  # the start of the range that holds the cut, and the exact bytes below it
     bits = min(FIRST_BITS, width)
     while todo:
@@ -62,16 +65,16 @@ def _cuts(rows: DataFrame, key: str, targets: list[int], slack: int, start: int
                     below += size
                     continue
                 if t - below <= slack:
-                    done[t] = (at, below, False)
+                    done[t] = (at, below, 0)
                 elif below + size - t <= slack or n == 1:
-                    done[t] = (at + 2**finer, below + size, False) if below + size - t < t - below else (at, below, False)
+                    done[t] = (at + 2**finer, below + size, 0) if below + size - t < t - below else (at, below, 0)
                 elif finer == 0:
-                    done[t] = (at, below, True)
+                    done[t] = (at, below, n)
                 else:
                     nxt[t] = (at, below)
                 break
             else:
-                done[t] = (min(lo + 2**width, 2**64 - 1), below, False)
+                done[t] = (min(lo + 2**width, 2**64 - 1), below, 0)
         todo, width = nxt, finer
         bits = min(STEP_BITS, width)
     return [done[t] for t in targets]
@@ -82,15 +85,23 @@ def splitters(rows: DataFrame, parts: int, slack: int) -> list[tuple[int, int]]:
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = sorted({total * k // parts for k in range(1, parts)}) if total else []
     out, inside = [], {}
-    for t, (key, below, is_open) in zip(targets, _cuts(rows, "hash", targets, slack) if targets else [], strict=True):
-        if is_open:  # one text's copies outweigh the slack: cut between their ids
-            inside.setdefault((key, below), []).append(t)
+    for t, (key, below, n) in zip(targets, _cuts(rows, "hash", targets, slack) if targets else [], strict=True):
+        if n:  # one text's copies outweigh the slack: cut between their ids
+            inside.setdefault((key, below, n), []).append(t)
         else:
             out.append((key, 0))
-    for (key, below), ts in inside.items():
+    few = [key for key, _, n in inside if n <= LISTED]
+    listed: dict[int, list] = {}
+    if few:  # at most parts * LISTED rows
+        for h, i, size in rows.filter(F.col("hash").isin([_signed(k) for k in few])).select("hash", "id", "size").collect():
+            listed.setdefault(h, []).append((i, size))
+    for (key, below, n), ts in inside.items():
+        if n <= LISTED:
+            ids = sorted(listed[_signed(key)])
+            out += [(key, ids[min(n - 1, round((t - below) / ids[0][1]))][0] + 2**63) for t in ts]
+            continue
         copies = rows.filter(F.col("hash") == _signed(key))
-        least, most = (x ^ LOW for x in copies.agg(F.min("id"), F.max("id")).first())
-        least, most = least % 2**64, most % 2**64
+        least, most = (x + 2**63 for x in copies.agg(F.min("id"), F.max("id")).first())
         width = max(1, (least ^ most).bit_length())
         out += [(key, i) for i, *_ in _cuts(copies, "id", [t - below for t in ts], slack, least >> width << width, width)]
     out += [(2**64 - 1, 2**64 - 1)] * (parts - 1 - len(out))  # fewer rows than parts
@@ -112,7 +123,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     rows = materialize(docs.select(key["hash"].alias("hash"), key["id"].alias("id"), size_of(F.col(text_col)).alias("size")), "shard-keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
     cut = splitters(rows, shards * cells, int(total / shards * tolerance))
-    bounds = F.array(*[F.struct(F.lit(h).cast("bigint").alias("hash"), F.lit(i).cast("bigint").alias("id")) for h, i in cut])
+    bounds = F.from_json(F.lit(json.dumps([{"hash": h, "id": i} for h, i in cut])), "array<struct<hash:bigint,id:bigint>>")  # folded to one literal
 
     def cell_of(k: Column) -> Column:
         return F.size(F.filter(bounds, lambda b: b <= k)) if cut else F.lit(0)
@@ -126,7 +137,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     out = docs.withColumns({"size": size_of(F.col(text_col)), "text_crc32": F.crc32(text), "_key": key})
     out = out.withColumn("_cell", cell_of(F.col("_key")))
     in_cell = F.row_number().over(Window.partitionBy("_cell").orderBy("_key"))
-    offset = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in before]), F.col("_cell") + 1)
+    offset = F.element_at(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_cell") + 1)
     return out.withColumns({"slot": in_cell - 1 + offset, "shard": F.floor(F.col("_cell") / cells).cast("int")}).drop("_key", "_cell")
 
 
