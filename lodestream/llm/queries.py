@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, sharding, url_filter
+from . import bpe, chat_format, exact_dedup, sharding, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_chat_format": chat_format.op8_chat_format,
