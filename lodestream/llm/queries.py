@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, sharding, url_filter
+from . import bpe, chat_format, exact_dedup, quality_rules, sharding, simhash, url_filter
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_simhash": simhash.op7_simhash,
         "op8_chat_format": chat_format.op8_chat_format,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
