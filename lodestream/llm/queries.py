@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, packing, quality_rules, sharding, simhash, url_filter
+from . import bpe, chat_format, exact_dedup, nbsvm, packing, quality_rules, sharding, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_nbsvm": nbsvm.op2_nbsvm,
         "op3_packing": packing.op3_packing,
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filter": url_filter.op6_url_filter,
