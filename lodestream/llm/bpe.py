@@ -66,11 +66,28 @@ class Trie:
         self.word_cache: dict[str, bytes] = {}
         self.chunk_cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self._plain = None
         table = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.lengths = np.array([len(table.get(i, b"")) for i in range(size)], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.bytes = np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8)
 
+    def plain(self):
+        """texts -> little-endian ids by a ready-made encoder if merges come in the order of their ids, as it assumes; else by the trie.
+
+        For operators whose subject isn't the encoding itself.
+        """
+        if self._plain is None:
+            ordered = all(self.rank[i] == k for k, i in enumerate(sorted(i for i in self.ids.values() if self.parts[i] is not None)))
+            if ordered:
+                import tiktoken
+
+                coder = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens=self.special)
+                self._plain = lambda texts: [coder.encode_to_numpy(t, allowed_special="all").tobytes() for t in texts]
+            else:
+                self._plain = self.encode
+        return self._plain
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the text of tokens a and b encodes as just these two.
 

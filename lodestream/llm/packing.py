@@ -30,12 +30,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     last = end.to_bytes(4, "little")
 
     def run(batches):
-        coder = bpe.trie(source.value)
+        encode = bpe.trie(source.value).plain()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             out = []
             for a, b in bpe.blocks(texts):
-                for doc, row in zip(ids[a:b], coder.encode(texts[a:b]), strict=True):
+                for doc, row in zip(ids[a:b], encode(texts[a:b]), strict=True):
                     row += last
                     n = len(row) // 4
                     at, k = 0, 0
