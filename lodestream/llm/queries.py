@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, nbsvm, packing, quality_rules, sharding, simhash, url_filter
+from . import bpe, chat_format, exact_dedup, nbsvm, packing, quality_rules, sharding, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_nbsvm": nbsvm.op2_nbsvm,
         "op3_packing": packing.op3_packing,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_simhash": simhash.op7_simhash,
