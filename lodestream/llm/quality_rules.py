@@ -112,45 +112,67 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.diff(np.log(smooth / smooth.sum(axis=1, keepdims=True)), axis=0)[0] * -1
 
 
+def verdicts(texts: list[bytes], column: pa.Array, w: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept of a batch."""
+    base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 4)
+    spaces = np.array([sum(map(t.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))) for t in texts], np.int64)
+    chars = np.asarray(pc.utf8_length(pc.fill_null(column, "")), np.int64)
+    means = []
+    for a, b in _blocks(texts):
+        hashed, starts = buckets(texts[a:b])
+        sums = np.concatenate(([0.0], np.cumsum(w[hashed])))
+        ends = np.concatenate((starts[1:], [len(hashed)]))
+        means.append((sums[ends] - sums[starts]) / np.maximum(1, ends - starts))
+    llr = np.round(np.concatenate(means), 9) if means else np.zeros(0)
+    failed = (base[:, 0] < 50) | (100 * base[:, 3] > 50 * base[:, 0])
+    return [base[:, 0], chars - spaces, base[:, 1], base[:, 2], base[:, 3], failed, llr, ~failed & (llr >= threshold)]
+
+
 def score(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, llr, kept."""
     weights = docs.sparkSession.sparkContext.broadcast(ratios)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
     def run(batches):
-        w = weights.value
         for batch in batches:
-            texts = _raw(batch.column(1))
-            base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 4)
-            spaces = np.array([sum(map(t.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))) for t in texts], np.int64)
-            chars = np.asarray(pc.utf8_length(pc.fill_null(batch.column(1), "")), np.int64)
-            means = []
-            for a, b in _blocks(texts):
-                hashed, starts = buckets(texts[a:b])
-                sums = np.concatenate(([0.0], np.cumsum(w[hashed])))
-                ends = np.concatenate((starts[1:], [len(hashed)]))
-                means.append((sums[ends] - sums[starts]) / np.maximum(1, ends - starts))
-            llr = np.concatenate(means) if means else np.zeros(0)
-            failed = (base[:, 0] < 50) | (100 * base[:, 3] > 50 * base[:, 0])
-            kept = ~failed & (np.round(llr, 9) >= threshold)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (base[:, 0], chars - spaces, base[:, 1], base[:, 2], base[:, 3], failed, np.round(llr, 9), kept))],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"],
-            )
+            found = verdicts(_raw(batch.column(1)), batch.column(1), weights.value, threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names=names)
 
     schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, llr double, kept boolean"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def model(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
+    """Log ratios from (doc_id, text) and the trusted ones among the labelled documents."""
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)  # the parameter bounds what is broadcast
+    return log_ratios(gram_counts(docs, chosen))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, score and verdict of every document.
 
     Trusted are the documents that ``labels`` gives quality 1. Null texts count as empty and fail the base rules;
     repeated rows are judged alike; without trusted documents every score is 0; an empty table gives no rows.
     """
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)  # the parameter bounds what is broadcast
-    return score(plain, log_ratios(gram_counts(plain, chosen)), threshold)
+    plain = _plain(docs, id_col, text_col)
+    return score(plain, model(plain, labels, trusted_rows), threshold)
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns unchanged, without a shuffle of texts."""
+    weights = docs.sparkSession.sparkContext.broadcast(model(_plain(docs, id_col, text_col), labels, trusted_rows))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(_raw(batch.column(at)), batch.column(at), weights.value, threshold)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,13 @@ holds arrays compressed as blobs. The partitions of the scan are fixed, so a los
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .suffix_sort import sort_suffixes
 from .util import materialize, read
@@ -183,15 +186,15 @@ def covered(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], spans[starts, 1], reach[ends] - spans[starts, 0] * (1 << 40)], axis=1)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept binary, spans array<struct<start, stop>> of the maximal removed runs.
 
     Every byte goes that a string of ``MATCH`` bytes covers which also starts in a document with a smaller id. Null
     texts are empty, null ids come after all others, rows with one id don't count as each other's earlier documents; an
-    empty table gives no rows. ``docs`` is written to the shared folder first unless it is ``stored``, a plain read of a table.
+    empty table gives no rows. The columns in ``carry`` come along. ``docs`` is written to the shared folder first unless it is ``stored``, a plain read of a table.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
     if not stored:
         plain = materialize(plain, "suffix-docs")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -200,7 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def rows_of(rows):
         ids, texts = [], []
-        for doc, text in rows:
+        for doc, text, *_ in rows:
             ids.append(NO_ID if doc is None else doc)
             texts.append(text.encode())
         return np.array(ids, np.int64), texts
@@ -284,19 +287,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gone = covered(np.concatenate(found)) if found else np.zeros((0, 3), np.int64)
             edges = np.searchsorted(gone[:, 0], np.arange(len(rows) + 1)).tolist()
             gone = gone[:, 1:].tolist()
-            for k, (doc, text) in enumerate(rows):
+            for k, (doc, text, *rest) in enumerate(rows):
                 raw, at, left, cut = text.encode(), 0, [], gone[edges[k] : edges[k + 1]]
                 for a, b in cut:
                     left.append(raw[at:a])
                     at = b
                 left.append(raw[at:])
-                yield doc, len(raw), bytearray(b"".join(left)), [(a, b) for a, b in cut]
+                yield doc, len(raw), bytearray(b"".join(left)), [(a, b) for a, b in cut], *rest
 
     anchors = base.mapPartitionsWithIndex(send_anchors).groupByKey(buckets).flatMap(answer)
     strings = back(anchors, base.getNumPartitions()).mapPartitionsWithIndex(send_strings)
     spans = strings.groupByKey(buckets).flatMap(sort_shard)
     kept = back(spans, base.getNumPartitions()).mapPartitions(keep)
-    return spark.createDataFrame(kept, "doc_id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,stop:bigint>>", verifySchema=False)
+    schema = T._parse_datatype_string("doc_id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,stop:bigint>>")
+    return spark.createDataFrame(kept, T.StructType([*schema, *(plain.schema[c] for c in carry)]), verifySchema=False)
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of the text; what is left of a cut character goes too. Every row stays."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    hidden = {c: f"_{k}" for k, c in enumerate(others)}
+    out = remove_repeats(docs.withColumnsRenamed(hidden), id_col, text_col, carry=list(hidden.values()), **options)
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.array([t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], names=["doc_id", "text", *batch.schema.names[2:]])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(out.schema[c] for c in hidden.values())])
+    whole = out.select("doc_id", "kept", *hidden.values()).mapInArrow(run, schema)
+    whole = whole.withColumnsRenamed({v: k for k, v in hidden.items()} | {"doc_id": id_col, "text": text_col})
+    return whole.select(*docs.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
