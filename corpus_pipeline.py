@@ -1,8 +1,51 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, repeated passages, packing."""
+"""The corpus pipeline: quality rules, exact dedup, near-dedup, repeated passages, packing.
 
-STAGES = []
+Each stage takes all that its predecessor kept, as written Parquet, and all but the last return the columns of
+``documents``. The last gives one row per packed piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestream.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup
+from lodestream.llm.util import materialize, read
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or look unlike trusted text go."""
+    return quality_rules.drop_poor(docs, read(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.drop_near(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that an earlier document has are cut out; n_chars follows."""
+    return suffix_dedup.drop_repeats(docs, stored=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 1024 tokens."""
+    return packing.pack(docs, bpe.default_tokenizer())
+
+
+STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("simhash", near), ("suffix_dedup", passages), ("packing", pack)]
+
+#: SQL can't express hashed likelihood ratios, SimHash components or BPE; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
