@@ -1,9 +1,13 @@
 """Registered queries of the engine and their SQL."""
 
+from . import sensor, vector
+
+MODULES = (sensor, vector)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
