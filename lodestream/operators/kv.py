@@ -126,7 +126,7 @@ def replay_lists(log: DataFrame) -> DataFrame:
         items: list = []
         for op, arg, value in pdf.sort_values("seq")[["op", "arg", "value"]].itertuples(index=False):
             items = fold_list(items, op, arg, value)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "pos": range(len(items)), "value": items}).astype({"pos": "int64"})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(items), "pos": range(len(items)), "value": pd.Series(items, dtype="object")}).astype({"pos": "int64"})
 
     return log.groupBy("key").applyInPandas(run, "key bigint, pos bigint, value string")
 

@@ -1,8 +1,8 @@
 """Registered queries of the engine and their SQL."""
 
-from . import sensor, vector
+from . import agent, kv, sensor, streams, vector
 
-MODULES = (sensor, vector)
+MODULES = (sensor, vector, kv, agent, streams)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-
+"""Readers and writers: sensor datasets, passages, vectors, results, snapshots."""
