@@ -8,7 +8,6 @@ from ..functions import geo
 from ..operators import kv as K
 from .common import table
 
-N = F.count(F.lit(1))
 
 
 def _orders(spark, d):
@@ -25,7 +24,7 @@ def hash_getall(spark, d):
     """HGETALL, HKEYS and HLEN of each hash: fields in order, joined."""
     state = hash_last_write(spark, d)
     pairs = F.array_sort(F.collect_list(F.struct("field", "cents")))
-    return state.groupBy("key").agg(N.alias("length"), F.array_join(F.transform(pairs, lambda p: F.concat(p["field"], F.lit("="), p["cents"].cast("string"))), ",").alias("pairs"))
+    return state.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.array_join(F.transform(pairs, lambda p: F.concat(p["field"], F.lit("="), p["cents"].cast("string"))), ",").alias("pairs"))
 
 
 def hash_hmget(spark, d):
@@ -108,7 +107,7 @@ def stream_delete(spark, d):
     """XDEL of all signups, then the length of each stream."""
     e = table(spark, d, "events")
     gone = e.filter("event_type = 'signup'").select("event_id")
-    return e.join(gone, "event_id", "left_anti").groupBy("user_id").agg(N.alias("length"))
+    return e.join(gone, "event_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("length"))
 
 
 def _tags(spark, d):
@@ -131,7 +130,7 @@ def set_difference(spark, d):
 
 
 def set_cardinality(spark, d):
-    return _tags(spark, d).groupBy("key").agg(N.alias("n"))
+    return _tags(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _zset(spark, d):
@@ -149,7 +148,7 @@ def zset_range_by_score(spark, d):
 
 
 def zset_count(spark, d):
-    return zset_range_by_score(spark, d).groupBy("key").agg(N.alias("n"))
+    return zset_range_by_score(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def zset_incr(spark, d):
@@ -165,7 +164,7 @@ def zset_pop_min(spark, d):
 
 
 def zset_remove_by_score(spark, d):
-    return K.zset(_zset(spark, d)).filter(~F.col("score").between(0, 10_000_000)).groupBy("key").agg(N.alias("n"))
+    return K.zset(_zset(spark, d)).filter(~F.col("score").between(0, 10_000_000)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def key_scan_glob(spark, d):
