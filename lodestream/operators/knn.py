@@ -60,7 +60,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", i
         flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0)
         if len(ids) and len(flat) % len(ids):
             raise ValueError("vectors have different dimensions")
-        return ids, flat.reshape(len(ids), -1)
+        return ids, flat.reshape(len(ids), len(flat) // max(1, len(ids)))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         (qi, q), (ci, c) = matrix(a), matrix(b)
