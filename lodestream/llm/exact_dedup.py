@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import materialize, read
+from .util import fresh, materialize, read
 
 
 def digest(text: Column) -> Column:
@@ -67,18 +67,19 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, all columns unchanged. Only the ids of dropped rows are joined."""
     groups = materialize(exact_groups(docs, id_col, text_col, **options), "exact-groups").filter(~F.col("kept"))
     winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    rows = docs.withColumn("_digest", digest(F.col(text_col)))
+    own, lost, number = fresh(docs, "digest", "lost", "number")
+    rows = docs.withColumn(own, digest(F.col(text_col)))
 
     def named(which: Column) -> DataFrame:
-        return groups.filter(which).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_lost")).distinct()
+        return groups.filter(which).select(F.col("doc_id").alias(number), F.col("text_sha256").alias(lost)).distinct()
 
-    same = (F.col("_digest") == F.col("_lost")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    same = (F.col(own) == F.col(lost)) & F.col(id_col).eqNullSafe(F.col(number))
     out = rows.join(named(~winner), same, "left_anti")
     if not groups.filter(winner).isEmpty():  # rows that repeat id and text: one of each stays
         repeated = named(winner)
-        once = out.join(repeated, same, "left_semi").dropDuplicates([id_col, "_digest"])
+        once = out.join(repeated, same, "left_semi").dropDuplicates([id_col, own])
         out = out.join(repeated, same, "left_anti").unionByName(once)
-    return out.drop("_digest")
+    return out.drop(own)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

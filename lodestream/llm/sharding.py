@@ -17,7 +17,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import materialize, read
+from .util import fresh, materialize, read
 
 FIRST_BITS, STEP_BITS = 12, 8
 ROW_BYTES = 16
@@ -116,7 +116,8 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     """All columns of ``docs`` plus size, text_crc32, shard (0 to ``shards`` - 1, by bytes) and slot (gapless from 0).
 
     Every shard holds the mean bytes, give or take ``tolerance`` of it and half a document at each end. Equal texts are neighbours in the order. Null texts count as empty, null ids come
-    first, rows that repeat in id and text take slots in any order. An empty table gives no rows.
+    first, rows that repeat in id and text take slots in any order. An empty table gives no rows. Columns of ``docs``
+    that are named like an added one are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.xxhash64(text).alias("hash"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOW)).alias("id"))
@@ -134,11 +135,12 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         at = 0 if c % cells == 0 else at
         before.append(at)
         at += counts.get(c, 0)
-    out = docs.withColumns({"size": size_of(F.col(text_col)), "text_crc32": F.crc32(text), "_key": key})
-    out = out.withColumn("_cell", cell_of(F.col("_key")))
-    in_cell = F.row_number().over(Window.partitionBy("_cell").orderBy("_key"))
-    offset = F.element_at(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_cell") + 1)
-    return out.withColumns({"slot": in_cell - 1 + offset, "shard": F.floor(F.col("_cell") / cells).cast("int")}).drop("_key", "_cell")
+    name, cell = fresh(docs, "key", "cell")
+    out = docs.withColumn(name, key).withColumns({"size": size_of(F.col(text_col)), "text_crc32": F.crc32(text)})
+    out = out.withColumn(cell, cell_of(F.col(name)))
+    in_cell = F.row_number().over(Window.partitionBy(cell).orderBy(name))
+    offset = F.element_at(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col(cell) + 1)
+    return out.withColumns({"slot": in_cell - 1 + offset, "shard": F.floor(F.col(cell) / cells).cast("int")}).drop(name, cell)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

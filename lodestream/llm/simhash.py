@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import materialize, read
+from .util import fresh, materialize, read
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a bucket from which it is dealt again; rows that one call looks at, on average.
@@ -116,9 +116,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group stays, all columns unchanged."""
-    lost = near_groups(docs, id_col, text_col, **options).filter("doc_id != component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(materialize(lost, "simhash-lost"), F.col(id_col) == F.col("_lost"), "left_anti")
+    """The rows of ``docs`` whose id names their component: one document of each group stays, all columns unchanged.
+
+    Rows that repeat the id that stays are that document and stay too, as do rows without an id."""
+    (number,) = fresh(docs, "lost")
+    lost = near_groups(docs, id_col, text_col, **options).filter("doc_id != component_id").select(F.col("doc_id").alias(number)).distinct()
+    return docs.join(materialize(lost, "simhash-lost"), F.col(id_col) == F.col(number), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

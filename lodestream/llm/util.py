@@ -28,11 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str, keep_files: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"_{name}" + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in names]
 
-    ``keep_files`` makes one read task per written file, so ``spark_partition_id()`` is stable.
-    """
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
