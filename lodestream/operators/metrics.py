@@ -72,6 +72,17 @@ def ranked_percentiles(rows: DataFrame, key: str, value: str, ps: tuple[float, .
     return at.filter((index < F.col("upto")) & (index >= F.col("upto") - F.col("c"))).select(key, "p", value)
 
 
+def poisson_weight(row: Column | str, draw: Column | str) -> Column:
+    """How often a draw with replacement takes a row: Poisson(1) from a hash of both."""
+    u = F.pmod(F.xxhash64(row, draw), F.lit(1_000_000)) / 1_000_000.0
+    weight, total, share = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 9):
+        total += share
+        weight = F.when(u >= total, k).otherwise(weight)
+        share /= k
+    return weight
+
+
 def bootstrap_mean(values: DataFrame, key: str, value: str, rounds: int = 200, level: float = 0.95) -> DataFrame:
     """Mean and percentile interval of resampled means per key.
 
@@ -79,12 +90,7 @@ def bootstrap_mean(values: DataFrame, key: str, value: str, rounds: int = 200, l
     result on every run. Null and NaN values are dropped."""
     rows = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(key, "row_id", F.col(value).cast("double").alias("x"))
     drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.pmod(F.xxhash64("row_id", "round"), F.lit(1_000_000)) / 1_000_000.0
-    weight, total, share = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += share
-        weight = F.when(u >= total, k).otherwise(weight)
-        share /= k
+    weight = poisson_weight("row_id", "round")
     means = drawn.withColumn("w", weight).groupBy(key, "round").agg((F.sum(F.col("x") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     side = (1 - level) / 2
     ends = means.groupBy(key).agg(F.percentile("m", F.lit(side)).alias("low"), F.percentile("m", F.lit(1 - side)).alias("high"))
@@ -95,14 +101,25 @@ def bootstrap_ratio(pairs: DataFrame, rounds: int = 200, level: float = 0.95) ->
     """Ratio of means of paired (row_id, a, b) with a percentile interval and whether it has 1 inside; pairs with b = 0 are dropped."""
     rows = pairs.filter("b != 0 and a is not null")
     drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.pmod(F.xxhash64("row_id", "round"), F.lit(1_000_000)) / 1_000_000.0
-    weight, total, share = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += share
-        weight = F.when(u >= total, k).otherwise(weight)
-        share /= k
+    weight = poisson_weight("row_id", "round")
     ratios = drawn.withColumn("w", weight).groupBy("round").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("b") * F.col("w")), F.lit(0.0))).alias("r"))
     side = (1 - level) / 2
     ends = ratios.agg(F.percentile("r", F.lit(side)).alias("low"), F.percentile("r", F.lit(1 - side)).alias("high"))
     point = rows.agg((F.sum("a") / F.sum("b")).alias("ratio"), F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
     return point.join(ends.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn("has_one", (F.col("low") <= 1) & (F.col("high") >= 1))
+
+
+def bootstrap_quantile(values: DataFrame, key: str, value: str, p: float, rounds: int = 100, level: float = 0.95) -> DataFrame:
+    """A quantile and its percentile interval: per draw the least value at which the drawn rows reach share ``p``.
+
+    Weights are summed per distinct value before they are ordered, so no group is collected."""
+    rows = values.filter(F.col(value).isNotNull()).select(key, "row_id", F.col(value).alias("x"))
+    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(-1), F.lit(rounds - 1))))
+    weight = F.when(F.col("round") < 0, 1).otherwise(poisson_weight("row_id", "round"))
+    summed = drawn.groupBy(key, "round", "x").agg(F.sum(weight).alias("w")).filter("w > 0")
+    w = Window.partitionBy(key, "round")
+    upto = summed.withColumns({"upto": F.sum("w").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("w").over(w)})
+    q = upto.filter(F.col("upto") >= F.col("n") * p).groupBy(key, "round").agg(F.min("x").alias("q"))
+    side = (1 - level) / 2
+    draws = F.when(F.col("round") >= 0, F.col("q"))
+    return q.groupBy(key).agg(F.max(F.when(F.col("round") < 0, F.col("q"))).alias("value"), F.percentile(draws, F.lit(side)).alias("low"), F.percentile(draws, F.lit(1 - side)).alias("high"))

@@ -224,6 +224,35 @@ def batch_hash_fields(spark, d):
     return K.lookup(hash_last_write(spark, d), want, ["key", "field"]).select("key", "field", F.col("cents").cast("string").alias("value"))
 
 
+def hash_scan(spark, d):
+    """HSCAN: the fields of every hash that match a pattern, in pages of 500 by key and field."""
+    from pyspark.sql import Window
+
+    found = K.scan(hash_last_write(spark, d), "field", "[FP]")
+    bucket = F.floor(F.col("key") / 100)
+    w = Window.partitionBy("bucket").orderBy("key", "field")
+    return found.withColumn("bucket", bucket).select("key", "field", "bucket", F.floor((F.row_number().over(w) - 1) / 500).alias("page"))
+
+
+def key_exists(spark, d):
+    """EXISTS of every customer's list of orders."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    hit = _orders(spark, d).select("key").distinct().withColumn("hit", F.lit(1))
+    return c.join(hit, "key", "left").select("key", F.coalesce("hit", F.lit(0)).alias("found"))
+
+
+def string_ranges(spark, d):
+    """GETRANGE, STRLEN and GETSET's old value of part names."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.substring("p_name", 3, 4).alias("part"), F.length("p_name").alias("length"), F.upper("p_brand").alias("brand"))
+
+
+def flush(spark, d):
+    """DEL of every key whose last order is low priority, then the size of the keyspace."""
+    last = _orders(spark, d).groupBy("key").agg(F.max_by("member", "seq").alias("member"))
+    return last.groupBy((F.col("member") == "5-LOW").alias("deleted")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def group_commit(spark, d):
     """Commit groups (new behaviour): all writes of an order date are seen together; the last group wins per field."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("field"), F.to_date("o_orderdate").alias("grp"), F.expr("cast(round(o_totalprice * 100) as bigint)").alias("cents"))
@@ -284,5 +313,9 @@ QUERIES = {
     "geo_distance": (geo_distance, f"{PLACES} SELECT member, round(m, 3) AS m, round(m / 1000.0, 3) AS km, round(m / 1609.34, 3) AS mi, round(m / 0.3048, 3) AS ft FROM g"),
     "geo_radius": (geo_radius, f"{PLACES} SELECT member, round(m / 1000.0, 3) AS km FROM g WHERE round(m / 1000.0, 3) <= 5000 ORDER BY 2, 1 LIMIT 10"),
     "multi_hash_fields": (batch_hash_fields, f"{LAST} SELECT c_custkey AS key, w.field, CAST(s.cents AS VARCHAR) AS value FROM customer CROSS JOIN (VALUES ('O'), ('nope')) w(field) LEFT JOIN state s ON s.key = c_custkey AND s.field = w.field"),
+    "hash_scan": (hash_scan, f"{LAST}, f AS (SELECT key, field, key // 100 AS bucket FROM state WHERE field IN ('F', 'P')) SELECT key, field, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY key, field) - 1) // 500 AS page FROM f"),
+    "key_exists": (key_exists, "SELECT c_custkey AS key, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 1 ELSE 0 END AS found FROM customer"),
+    "string_ranges": (string_ranges, "SELECT p_partkey, substr(p_name, 3, 4) AS part, CAST(length(p_name) AS INTEGER) AS length, upper(p_brand) AS brand FROM part"),
+    "delete_keys": (flush, f"{LOG}, l AS (SELECT key, arg_max(member, seq) = '5-LOW' AS deleted FROM log GROUP BY 1) SELECT deleted, count(*) AS n FROM l GROUP BY 1"),
     "group_commit": (group_commit, "WITH s AS (SELECT o_custkey AS key, o_orderstatus AS field, CAST(o_orderdate AS DATE) AS grp, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1, 2, 3) SELECT key, field, arg_max(cents, grp) AS cents FROM s GROUP BY 1, 2"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import faults as T
@@ -188,10 +189,46 @@ def bootstrap_paired_ratio(spark, d):
     return M.bootstrap_ratio(c.select(F.xxhash64("sensor", "cp").alias("row_id"), F.col("max_t10").cast("double").alias("a"), F.col("min_t10").cast("double").alias("b")), 100)
 
 
+def bootstrap_quantile(spark, d):
+    r = _readings(spark, d).withColumn("row_id", F.struct("sensor", "seq"))
+    return M.bootstrap_quantile(r, "status", "t10", 0.5)
+
+
+def report_score(spark, d):
+    """A report from the checkpoint before, scored on this one: count within 3, highest within 2 degrees, lowest below 5."""
+    r = _readings(spark, d).withColumn("cp", F.floor((F.col("seq") - 1) / 20))
+    c = r.groupBy("sensor", "cp").agg(F.count(F.lit(1)).alias("n"), F.sum(S.anomalous().cast("bigint")).alias("k"), F.max("t10").alias("hi"), F.min("t10").alias("lo")).filter("n = 20")
+    w = Window.partitionBy("sensor").orderBy("cp")
+    said = c.withColumns({x + "0": F.lag(x).over(w) for x in ("k", "hi", "lo")}).filter("k0 is not null")
+    point = lambda cond: F.when(cond, 1).otherwise(0)
+    return said.select("sensor", "cp", (point(F.abs(F.col("k") - F.col("k0")) <= 3) + point(F.abs(F.col("hi") - F.col("hi0")) <= 20) + point((F.col("lo") < 50) == (F.col("lo0") < 50))).alias("score"))
+
+
+def question_answers(spark, d):
+    """Ground truths per sensor for questions on now, the last ten readings and all of them."""
+    r = _readings(spark, d)
+    late = r.withColumn("last", F.max("seq").over(Window.partitionBy("sensor")))
+    recent = F.col("seq") > F.col("last") - 10
+    return late.groupBy("sensor").agg(
+        F.max_by("t10", "seq").alias("now"),
+        F.max_by("status", "seq").alias("status"),
+        F.max(F.when(recent, F.col("t10"))).alias("recent_max"),
+        F.sum(F.when(recent & S.anomalous(), 1).otherwise(0)).alias("recent_anomalies"),
+        F.max("t10").alias("ever_max"),
+        F.min_by("minute", "seq").alias("first_minute"),
+        F.sum(F.when(F.col("t10") > 280, 1).otherwise(0)).alias("above"),
+    )
+
+
+def sensor_window_tool(spark, d):
+    """Windows with an anomaly in a range of minutes: ids by range first, then their rows."""
+    c = _checkpoint_columns(S.checkpoints(_readings(spark, d)))
+    ids = c.filter("has_anomaly = 1 and minute between 10000 and 30000").select("sensor", "cp")
+    return c.join(ids, ["sensor", "cp"]).select("sensor", "cp", "minute", "max_t10", "min_t10")
+
+
 def precursor_knn(spark, d):
     """Each fault's pre-window beside the mean of the key's earlier ones: share of earlier windows (last 8) within 2 degrees."""
-    from pyspark.sql import Window
-
     p = S.precursor_windows(_readings(spark, d))
     w = Window.partitionBy("sensor").orderBy("fault_seq").rowsBetween(-8, -1)
     seen = p.withColumn("before", F.collect_list("max_t10").over(w))
@@ -310,5 +347,24 @@ QUERIES = {
         f"{WITH}, a AS (SELECT sensor, count(*) AS n, CAST(sum(t10) AS BIGINT) AS s, CAST(sum(t10 * t10) AS BIGINT) AS q FROM readings GROUP BY 1), b AS (SELECT *, CASE WHEN n < 2 THEN 0.0 ELSE CAST(n * q - s * s AS DOUBLE) / (n * (n - 1)) END AS v FROM a) SELECT sensor, round(CAST(s AS DOUBLE) / n, 6) AS mean, round(sqrt(v), 6) AS std, round(sqrt(v / n), 6) AS stderr FROM b",
     ),
     "bootstrap_mean_ci": (bootstrap_mean_ci, None),
+    "bootstrap_quantile": (bootstrap_quantile, None),
+    "report_score": (
+        report_score,
+        f"""{WITH}, c AS (SELECT sensor, (seq - 1) // 20 AS cp, sum({ANOM}) AS k, max(t10) AS hi, min(t10) AS lo FROM readings GROUP BY 1, 2 HAVING count(*) = 20),
+        s AS (SELECT *, lag(k) OVER w AS k0, lag(hi) OVER w AS hi0, lag(lo) OVER w AS lo0 FROM c WINDOW w AS (PARTITION BY sensor ORDER BY cp))
+        SELECT sensor, cp, CAST(abs(k - k0) <= 3 AS INTEGER) + CAST(abs(hi - hi0) <= 20 AS INTEGER) + CAST((lo < 50) = (lo0 < 50) AS INTEGER) AS score FROM s WHERE k0 IS NOT NULL""",
+    ),
+    "question_answers": (
+        question_answers,
+        f"""{WITH}, l AS (SELECT *, max(seq) OVER (PARTITION BY sensor) AS last FROM readings)
+        SELECT sensor, arg_max(t10, seq) AS now, arg_max(status, seq) AS status, max(CASE WHEN seq > last - 10 THEN t10 END) AS recent_max, count(*) FILTER (WHERE seq > last - 10 AND {ANOM} = 1) AS recent_anomalies,
+        max(t10) AS ever_max, arg_min(minute, seq) AS first_minute, count(*) FILTER (WHERE t10 > 280) AS above FROM l GROUP BY 1""",
+    ),
+    "sensor_window_tool": (sensor_window_tool, f"{WITH}, {CHECKPOINTS} SELECT sensor, cp, minute, max_t10, min_t10 FROM cpv WHERE has_anomaly = 1 AND minute BETWEEN 10000 AND 30000"),
+    "signal_calibration": (
+        tfi_posterior,
+        f"""{ALL}, {TRUTH}, hit AS (SELECT unnest(list_filter([{SIGNAL_SQL}], lambda x: x IS NOT NULL)) AS signal, truth FROM pred)
+        SELECT signal, count(*) AS fires, CAST(sum(truth) AS BIGINT) AS hits, CAST(count(*) - sum(truth) AS BIGINT) AS misses, round((sum(truth) + 2.0) / (count(*) + 5.0), 3) AS confidence FROM hit GROUP BY 1""",
+    ),
     "bootstrap_paired_ratio": (bootstrap_paired_ratio, None),
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,14 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import faults as T
 from ..operators import sensor as S
 from ..sources import files
+from ..sources.shared import shared_dir
 from ..streaming import sensor as stream
 from .common import table
 from .sensor import ANOM, WITH
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):
@@ -26,22 +25,22 @@ def _events(spark, d):
 
 
 def stream_running_stats(spark, d):
-    return stream.drain(stream.running_stats(_events(spark, d)), "running_stats_" + uuid.uuid4().hex, "complete", _folder(spark))
+    return stream.drain(stream.running_stats(_events(spark, d)), "complete", _folder(spark))
 
 
 def stream_windows(spark, d):
     """All closed windows: the last hours, which the watermark still holds open, aren't out yet."""
-    out = stream.drain(stream.windows(_events(spark, d), "1 day"), "windows_" + uuid.uuid4().hex, "append", _folder(spark))
+    out = stream.drain(stream.windows(_events(spark, d), "1 day"), "append", _folder(spark))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "sum_t10", "max_t10")
 
 
 def stream_session(spark, d):
-    out = stream.drain(stream.sessions(_events(spark, d)), "sessions_" + uuid.uuid4().hex, "append", _folder(spark))
+    out = stream.drain(stream.sessions(_events(spark, d)), "append", _folder(spark))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 def stream_newest(spark, d):
-    return stream.drain(stream.newest(_events(spark, d), 5), "newest_" + uuid.uuid4().hex, "update", _folder(spark))
+    return stream.drain(stream.newest(_events(spark, d), 5), "update", _folder(spark))
 
 
 def stream_gated(spark, d):
@@ -51,7 +50,7 @@ def stream_gated(spark, d):
     path = _folder(spark)
     scored.write.parquet(path)
     live = spark.readStream.schema(scored.schema).parquet(path)
-    return stream.drain(stream.gated_scores(live), "gated_" + uuid.uuid4().hex, "update", _folder(spark))
+    return stream.drain(stream.gated_scores(live), "update", _folder(spark))
 
 
 def snapshot_roundtrip(spark, d):

@@ -101,6 +101,25 @@ def vec_hamming(spark, d):
     return e.select("vec_id", V.hamming(V.quantize_binary(F.col("v")), V.quantize_binary(F.reverse("v"))).cast("bigint").alias("bits"))
 
 
+def vec_normalize(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3.0).alias("v"))
+    return e.select("vec_id", F.posexplode(F.slice(V.normalize(F.col("v")), 1, 3)).alias("pos", "x")).select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
+
+
+def knn_assessment(spark, d):
+    """A word for each query from the share of its neighbours that have its own label."""
+    queries, corpus = _sides(spark, d)
+    q = queries.select(F.col("vec_id").alias("query_id"), "label")
+    own = knn_label_vote(spark, d).join(q, ["query_id", "label"])
+    return own.select("query_id", "percent", F.when(F.col("percent") >= 67, "strong").when(F.col("percent") >= 33, "weak").otherwise("none").alias("match"))
+
+
+def semantic_search(spark, d):
+    """Neighbours hydrated from the documents of the same id; ids without a document are left out."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    return K.knn(*_sides(spark, d), TOP).join(docs, "id").select("query_id", "rank", "id", "source")
+
+
 def vec_point(spark, d):
     """Lookup of listed ids: an IN filter that the scan gets."""
     return table(spark, d, "embeddings").filter(F.col("vec_id").isin(0, 7, 40, 10**9)).select("vec_id", "label")
@@ -140,5 +159,12 @@ QUERIES = {
     "vec_each": (vec_each, f"{V0} SELECT vec_id, CAST(p AS INTEGER) AS pos, v[p + 1] AS x FROM e, range(64) t(p)"),
     "vec_quantize": (vec_quantize, f"{V0} SELECT vec_id, array_to_string(list_transform({INT8.format(v='v')}, lambda x: CAST(x AS INTEGER)), ',') AS int8, CAST(list_sum({BITS.format(v='v')}) AS BIGINT) AS positive FROM e"),
     "vec_hamming": (vec_hamming, f"{V0} SELECT vec_id, CAST(list_sum(list_transform(list_zip({BITS.format(v='v')}, {BITS.format(v='w')}), lambda z: abs(z[1] - z[2]))) AS BIGINT) AS bits FROM e"),
+    "knn_l2_squared": (knn("l2_squared"), knn_sql("list_sum(list_transform(list_zip(qv, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2])))")),
+    "vec_normalize": (vec_normalize, f"{V0} SELECT vec_id, CAST(p AS INTEGER) AS pos, round(v[p + 1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS x FROM e, range(3) t(p)"),
+    "knn_assessment": (
+        knn_assessment,
+        f"WITH {BASE}, {top_sql(COS)}, v AS (SELECT query_id, cl, CAST(100 * count(*) // {TOP} AS BIGINT) AS percent FROM found GROUP BY 1, 2) SELECT v.query_id, percent, CASE WHEN percent >= 67 THEN 'strong' WHEN percent >= 33 THEN 'weak' ELSE 'none' END AS match FROM v JOIN q ON q.query_id = v.query_id AND ql = cl",
+    ),
+    "semantic_search": (semantic_search, f"WITH {BASE}, {top_sql(COS)} SELECT query_id, rank, id, source FROM found JOIN documents ON doc_id = id"),
     "vec_point": (vec_point, "SELECT vec_id, label FROM embeddings WHERE vec_id IN (0, 7, 40, 1000000000)"),
 }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import faults
@@ -72,10 +73,17 @@ def gated_scores(scored: DataFrame) -> DataFrame:
     return scored.groupBy("sensor").applyInPandasWithState(run, "sensor bigint, cp bigint, predicted boolean", "counts array<int>, before array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs what is there to its end into an in-memory table and returns it; for tests and small results."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str, path: str) -> DataFrame:
+    """Runs what is there to its end, each batch written as Parquet below ``path``, and reads it back.
+
+    Complete output is that of the last batch; append and update output that of all batches."""
+    out = f"{path}/out"
+    write = lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    found = stream.sparkSession.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(out)
+    if mode == "complete":
+        found = found.filter(F.col("batch") == (found.agg(F.max("batch")).first()[0] or 0))
+    return found.drop("batch")
 
 
 def publish(stream: DataFrame, path: str, checkpoint: str):
