@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = getattr(spark, "_lodestream_scratch", None) or tempfile.mkdtemp(prefix="lodestream-")
     spark._lodestream_scratch = base
