@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,8 @@ MATCH, GRAM = 50, 16
 BORDER = 0xFF
 #: Anchors in a bucket, bytes whose suffixes are sorted at a time, and bytes of text that are hashed at a time; a document may be longer.
 BUCKET, SORTED, BLOCK = 1_500_000, 3 << 20, 1 << 20
+#: Bytes of text for which there is a shard; a shard gets the strings of shared anchors, up to four times as much if all are.
+SHARD = 16 << 20
 NO_ID = 2**63 - 1
 
 
@@ -86,7 +89,9 @@ def _block_runs(text: np.ndarray, base: np.ndarray, lengths: np.ndarray, first:
     mine = anchor[at]
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mine[1:] != mine[:-1])))) if len(doc) else np.zeros(0, np.int64)
     last = np.concatenate((new[1:] - 1, [len(doc) - 1])) if len(doc) else new
-    return doc[new] + first, place[new], place[last], h[mine[new]]
+    key = h[mine[new]]  # a least hash is small, so mix it again before hashes are dealt by their size
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return doc[new] + first, place[new], place[last], key ^ (key >> np.uint64(32))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -125,51 +130,46 @@ def _cuts(h: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate((np.searchsorted(h, edges), [len(h)]))
 
 
-def first_owner(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each window of each string, the smallest owner of a string that has the window."""
+def first_owners(strings: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one first owner, the smallest owner (0 or more) of a string that has the window: (string, first window, last window, owner)."""
     sizes = np.array([len(s) for s in strings], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     text = np.frombuffer(bytes([BORDER]).join(strings) + bytes([BORDER]), np.uint8)
     at, common = sort_suffixes(text, MATCH)
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)[at]
-    whole = at - starts[owner] <= sizes[owner] - MATCH
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
+    own = owner[at]
+    whole = at - starts[own] <= sizes[own] - MATCH
     group = np.cumsum(common < MATCH)[whole]
-    at, owner = at[whole], owner[whole]
+    at, own = at[whole], own[whole]
     fresh = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(owners[owner], fresh)
-    found = np.empty(len(text), np.int64)
+    least = np.minimum.reduceat(owners[own], fresh)
+    found = np.full(len(text), -1, np.int64)
     found[at] = np.repeat(least, np.diff(np.concatenate((fresh, [len(at)]))))
-    return [found[a : a + n - MATCH + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1]))))
+    end = np.concatenate((new[1:], [len(text)])) - 1
+    real = found[new] >= 0
+    new, end = new[real], end[real]
+    string = owner[new].astype(np.int64)
+    return string, new - starts[string], end - starts[string], found[new]
 
 
 def settle(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]) -> dict[int, list[np.ndarray]]:
     """rows: (partition, document numbers, ids, places, strings). Spans that a smaller id has: {partition: [(number, start, end)]}."""
     known: dict[bytes, int] = {}
-    which, who, number, place, part = [], [], [], [], []
-    for p, docs, ids, places, strings in rows:
-        which.append(np.array([known.setdefault(s, len(known)) for s in strings], np.int64))
-        who.append(ids)
-        number.append(docs)
-        place.append(places)
-        part.append(np.full(len(docs), p, np.int64))
-    which, who, number, place, part = map(np.concatenate, (which, who, number, place, part))
-    owners = np.full(len(known), NO_ID, np.int64)
-    np.minimum.at(owners, which, who)
-    found = first_owner(list(known), owners)
-    # Each string as stretches of windows with one first owner.
-    stretches = []
-    for k, first in enumerate(found):
-        new = np.flatnonzero(first[1:] != first[:-1]) + 1
-        a = np.concatenate(([0], new))
-        stretches.append((np.full(len(a), k), a, np.concatenate((new, [len(first)])) - 1 + MATCH, first[a]))
-    string, a, b, first = map(np.concatenate, zip(*stretches, strict=True))
+    which = np.array([known.setdefault(s, len(known)) for *_, strings in rows for s in strings], np.int64)
+    part = np.repeat([p for p, *_ in rows], [len(docs) for _, docs, *_ in rows])
+    number, who, place = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
+    rank, order = np.unique(who, return_inverse=True)  # ids as ranks, so any id will do
+    owners = np.full(len(known), len(rank), np.int64)
+    np.minimum.at(owners, which, order)
+    string, a, b, first = first_owners(list(known), owners)
     begin = np.searchsorted(string, np.arange(len(known) + 1))
     many = (begin[1:] - begin[:-1])[which]
     row = np.repeat(np.arange(len(which)), many)
     stretch = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[which][row]
-    lost = first[stretch] < who[row]
+    lost = first[stretch] < order[row]
     row, stretch = row[lost], stretch[lost]
-    spans = np.stack([number[row], place[row] + a[stretch], place[row] + b[stretch]], axis=1)
+    spans = np.stack([number[row], place[row] + a[stretch], place[row] + b[stretch] + MATCH], axis=1)
     return {int(p): [spans[part[row] == p]] for p in np.unique(part[row])}
 
 
@@ -201,6 +201,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = plain.rdd
     buckets = max(12, -(-total * 2 // ((MATCH - GRAM + 2) * BUCKET)))
 
+    shards = max(12, -(-total // SHARD))
+
     def rows_of(rows):
         ids, texts = [], []
         for doc, text, *_ in rows:
@@ -245,37 +247,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = np.flatnonzero(shared[np.searchsorted(own | np.uint64(1), h | np.uint64(1))])
             hit = hit[np.argsort(h[hit], kind="stable")]
             doc, first, last, h = doc[hit], first[hit], last[hit], h[hit]
-            edges = _cuts(h, buckets)
-            for k in range(buckets):
+            edges = _cuts(h, shards)
+            for k in range(shards):
                 s = slice(edges[k], edges[k + 1])
                 if edges[k + 1] == edges[k]:
                     continue
                 spans = zip(doc[s].tolist(), first[s].tolist(), last[s].tolist(), strict=True)
                 strings = b"".join([texts[d][a : b + MATCH] for d, a, b in spans])
                 sizes = (last[s] - first[s]).astype(np.uint8)
-                yield k, (part, len(sizes), _pack(doc[s].astype(np.int32), ids[doc[s]], first[s].astype(np.int32), h[s], sizes), zlib.compress(strings, 6))
+                yield k, (part, len(sizes), _pack(doc[s].astype(np.int32), ids[doc[s]], first[s].astype(np.int32), h[s], sizes), zstandard.compress(strings, 3))
 
     def sort_shard(item):
-        bucket, blobs = item
-        blobs = list(blobs)
-        held = sum(len(b[3]) for b in blobs) * 3
-        pieces = max(1, held // SORTED)
-        queued: list[list] = [[] for _ in range(pieces)]
-        for part, n, meta, text in blobs:  # an anchor's strings go to one piece
-            raw, text = zlib.decompress(meta), zlib.decompress(text)
+        held = []
+        for part, n, meta, text in item[1]:
+            raw = zlib.decompress(meta)
             edges = np.cumsum([0, 4 * n, 8 * n, 4 * n, 8 * n, n]).tolist()
             doc, ids, first, h, size = (np.frombuffer(raw[a:b], t) for a, b, t in zip(edges, edges[1:], (np.int32, np.int64, np.int32, np.uint64, np.uint8), strict=False))
-            ends = np.cumsum(size.astype(np.int64) + MATCH)
-            piece = ((h >> np.uint64(20)) % np.uint64(pieces)).astype(np.int64)
-            for k in range(pieces):
-                mine = np.flatnonzero(piece == k)
-                if len(mine):
-                    strings = [text[e - s - MATCH : e] for e, s in zip(ends[mine].tolist(), size[mine].tolist(), strict=True)]
-                    queued[k].append((part, doc[mine].astype(np.int64), ids[mine], first[mine].astype(np.int64), strings))
-        blobs.clear()
+            held.append((part, doc, ids, first, size, h, zstandard.decompress(text)))
+        pieces = max(1, sum(len(x[-1]) for x in held) // SORTED)
         spans: dict[int, list[np.ndarray]] = {}
-        while queued:
-            rows = queued.pop()
+        for k in range(pieces):  # an anchor's strings go to one piece
+            rows = []
+            for part, doc, ids, first, size, h, text in held:
+                mine = np.flatnonzero((h >> np.uint64(8)) % np.uint64(pieces) == np.uint64(k))
+                if len(mine):
+                    ends = np.cumsum(size.astype(np.int64) + MATCH)[mine].tolist()
+                    strings = [text[e - s - MATCH : e] for e, s in zip(ends, size[mine].tolist(), strict=True)]
+                    rows.append((part, doc[mine].astype(np.int64), ids[mine], first[mine].astype(np.int64), strings))
             for part, found in settle(rows).items() if rows else ():
                 spans.setdefault(part, []).extend(found)
         for part, found in spans.items():
@@ -297,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     anchors = base.mapPartitionsWithIndex(send_anchors).groupByKey(buckets).flatMap(answer)
     strings = back(anchors, base.getNumPartitions()).mapPartitionsWithIndex(send_strings)
-    spans = strings.groupByKey(buckets).flatMap(sort_shard)
+    spans = strings.groupByKey(shards).flatMap(sort_shard)
     kept = back(spans, base.getNumPartitions()).mapPartitions(keep)
     schema = T._parse_datatype_string("doc_id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,stop:bigint>>")
     return spark.createDataFrame(kept, T.StructType([*schema, *(plain.schema[c] for c in carry)]), verifySchema=False)
