@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: Queries and corpus rows in a block.
-QUERIES, ROWS = 512, 16_384
+#: Queries and corpus rows in a block, and queries whose distances to a block of rows are held at a time.
+QUERIES, ROWS, SLICE = 8_192, 16_384, 128
 
 
 def quantize(x: np.ndarray) -> np.ndarray:
@@ -68,8 +68,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", i
         if len(qi) and len(ci) and k:
             if q.shape[1] != c.shape[1]:
                 raise ValueError("queries and corpus have different dimensions")
-            d = np.round(distances(q, c, metric), 6)
-            for row, x in zip(qi, d, strict=True):
+            sliced = (np.round(distances(q[s : s + SLICE], c, metric), 6) for s in range(0, len(qi), SLICE))
+            for row, x in zip(qi, (x for d in sliced for x in d), strict=True):
                 near = np.flatnonzero(x <= np.partition(x, min(k, len(x)) - 1)[min(k, len(x)) - 1])
                 near = near[np.lexsort((ci[near], x[near]))][:k]
                 near = near[x[near] <= most] if most is not None else near

@@ -64,6 +64,7 @@ def test_glob(spark, pattern, yes, no):
 def test_knn_over_blocks(spark, metric, monkeypatch):
     monkeypatch.setattr(knn, "QUERIES", 7)
     monkeypatch.setattr(knn, "ROWS", 13)
+    monkeypatch.setattr(knn, "SLICE", 3)
     rng = np.random.default_rng(3)
     data = np.round(rng.uniform(-1, 1, (60, 8)), 3)
     data[7] = data[11]
