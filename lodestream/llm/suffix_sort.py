@@ -125,16 +125,43 @@ class _Induction:
         return out
 
 
-def _prefix_words(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
-    """The first characters of suffixes as big-endian 64-bit words; past the end they count as zero bytes."""
+def _word(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on as a big-endian number."""
+    word = padded[at].astype(np.uint64)
+    for j in range(1, 8):
+        word = (word << np.uint64(8)) | padded[at + j]
+    return word
+
+
+def _sort_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds by their first characters and each one's common prefix with the one before: eight characters a round,
+    and only those that are still alike go into the next."""
+    n, m = len(text), len(seeds)
     padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
-    words = []
+    seeds, group, common = seeds.copy(), np.zeros(m, np.int64), np.full(m, depth, np.int64)
+    alike = np.arange(m)
     for k in range(0, depth, 8):
-        word = np.zeros(len(at), np.uint64)
+        if not len(alike):
+            break
+        word, g = _word(padded, seeds[alike] + k), group[alike]
+        by = np.lexsort((word, g)) if k else np.argsort(word, kind="stable")
+        seeds[alike], word = seeds[alike][by], word[by]
+        near = g[1:] == g[:-1]
+        part = near & (word[1:] != word[:-1])
+        at = alike[1:][part]
+        differ, same = (word[1:] ^ word[:-1])[part], np.full(len(at), k, np.int64)
         for j in range(8):
-            word = (word << np.uint64(8)) | padded[at + k + j]
-        words.append(word)
-    return words
+            same += (differ >> np.uint64(56 - 8 * j)) == 0
+        common[at] = same
+        split = np.zeros(m, np.int64)
+        split[at] = 1
+        group += np.cumsum(split)
+        held = near & ~part
+        alike = alike[np.concatenate((held, [False])) | np.concatenate(([False], held))]
+    if len(alike):  # the text's end is smaller than a zero byte
+        seeds[alike] = seeds[alike][np.lexsort((-seeds[alike], group[alike]))]
+    common[1:] = np.minimum(common[1:], n - np.maximum(seeds[1:], seeds[:-1]))
+    return seeds, np.minimum(common, depth).astype(np.uint8)
 
 
 def _common(text: np.ndarray, a: int, b: int, depth: int) -> int:
@@ -156,21 +183,7 @@ def sort_suffixes(text: np.ndarray, depth: int, budget: int = 1 << 25) -> tuple[
     following = np.where(rise != 0, np.arange(n), n)
     small = rise[np.minimum.accumulate(following[::-1])[::-1]] > 0
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    words = _prefix_words(text, seeds, depth)
-    order = np.lexsort([-seeds, *words[::-1]]) if len(seeds) else np.zeros(0, np.int64)  # the text's end is smaller than a zero byte
-    seeds = seeds[order]
-    common = np.zeros(len(seeds), np.int64)
-    open_ = np.ones(max(0, len(seeds) - 1), bool)
-    for word in words:
-        word = word[order]
-        x = word[1:] ^ word[:-1]
-        same = np.zeros(len(x), np.int64)
-        for j in range(8):
-            same += (x >> np.uint64(56 - 8 * j)) == 0
-        common[1:] += np.where(open_, same, 0)
-        open_ &= x == 0
-    common[1:] = np.minimum(common[1:], n - np.maximum(seeds[1:], seeds[:-1]))
-    common = np.minimum(common, depth).astype(np.uint8)
+    seeds, common = _sort_seeds(text, seeds, depth)
     firsts = np.searchsorted(text[seeds], np.arange(257)) if len(seeds) else np.zeros(257, np.int64)
 
     up = _Induction(text, ~small, depth, budget)
