@@ -39,7 +39,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Trie:
-    """Encoder and decoder of one byte-level vocabulary (the JSON of the tokenizers library)."""
+    """Encoder of one byte-level vocabulary (the JSON of the tokenizers library)."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
@@ -67,10 +67,6 @@ class Trie:
         self.chunk_cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self._plain = None
-        table = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.lengths = np.array([len(table.get(i, b"")) for i in range(size)], np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
-        self.bytes = np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8)
 
     def plain(self):
         """texts -> little-endian ids by a ready-made encoder if merges come in the order of their ids, as it assumes; else by the trie.
@@ -150,7 +146,7 @@ class Trie:
         out = {}
         pairs, fits, packed, ends = self.pairs, self.fits, self.packed, self.ends
         last, steps, starts, before = [0], [0], [0], b""  # per depth of the path: the last token, its length, the length of its end that may begin a token
-        if len(pairs) > 4 * CACHED:
+        if len(pairs) > CACHED:
             pairs.clear()
         for raw, word in sorted((w.encode(), w) for w in words):
             n = len(raw)
@@ -252,6 +248,19 @@ class Trie:
             out.append(b"".join(whole))
         return out
 
+
+class Table:
+    """The bytes of each token, special ones included, end to end; it takes far less memory than an encoder."""
+
+    def __init__(self, source: str):
+        spec, alphabet = json.loads(source), byte_alphabet()
+        special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", ())}
+        texts = {i: bytes(alphabet[c] for c in s) for s, i in spec["model"]["vocab"].items() if i not in special} | special
+        size = max(texts) + 1
+        self.lengths = np.array([len(texts.get(i, b"")) for i in range(size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(texts.get(i, b"") for i in range(size)), np.uint8)
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The text of each row of ids; rows lie between consecutive offsets. Broken UTF-8 becomes U+FFFD."""
         ids = ids[offsets[0] : offsets[-1]]
@@ -269,6 +278,11 @@ def trie(source: str) -> Trie:
     return Trie(source)
 
 
+@lru_cache(maxsize=2)
+def table(source: str) -> Table:
+    return Table(source)
+
+
 def vocabulary(spark: SparkSession, path: str):
     """The vocabulary file, read by the driver and sent to the executors once: its size is that of the vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -309,7 +323,7 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
     source = vocabulary(tokens.sparkSession, tokenizer)
 
     def run(batches):
-        bpe = trie(source.value)
+        bpe = table(source.value)
         for batch in batches:
             ids = batch.column(1)
             lengths = np.array(ids.value_lengths().fill_null(0))
