@@ -66,23 +66,6 @@ class Trie:
         self.word_cache: dict[str, bytes] = {}
         self.chunk_cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self._plain = None
-
-    def plain(self):
-        """texts -> little-endian ids by a ready-made encoder if merges come in the order of their ids, as it assumes; else by the trie.
-
-        For operators whose subject isn't the encoding itself.
-        """
-        if self._plain is None:
-            ordered = all(self.rank[i] == k for k, i in enumerate(sorted(i for i in self.ids.values() if self.parts[i] is not None)))
-            if ordered:
-                import tiktoken
-
-                coder = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens=self.special)
-                self._plain = lambda texts: [coder.encode_to_numpy(t, allowed_special="all").tobytes() for t in texts]
-            else:
-                self._plain = self.encode
-        return self._plain
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the text of tokens a and b encodes as just these two.
@@ -283,6 +266,24 @@ def table(source: str) -> Table:
     return Table(source)
 
 
+@lru_cache(maxsize=2)
+def ready(source: str):
+    """texts -> little-endian ids, by a ready-made encoder if merges come in the order of their ids, as it assumes; else by the trie.
+
+    For operators whose subject isn't the encoding itself.
+    """
+    spec, alphabet = json.loads(source), byte_alphabet()
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    ids = {s: i for s, i in spec["model"]["vocab"].items() if s not in special}
+    made = [ids["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+    if made != sorted(made):
+        return trie(source).encode
+    import tiktoken
+
+    coder = tiktoken.Encoding("ready", pat_str=PATTERN, mergeable_ranks={bytes(alphabet[c] for c in s): i for s, i in ids.items()}, special_tokens=special)
+    return lambda texts: [coder.encode_to_numpy(t, allowed_special="all").tobytes() for t in texts]
+
+
 def vocabulary(spark: SparkSession, path: str):
     """The vocabulary file, read by the driver and sent to the executors once: its size is that of the vocabulary."""
     with open(path, encoding="utf-8") as f:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import BITS, _blocks, _raw, buckets
-from .util import read
+from .util import read, slices
 
 #: Labelled rows that a fit uses at most; passes over them; the hinge loss's weight against the norm; an n-gram is frequent from so many uses.
 FIT_ROWS, PASSES, COST, OFTEN = 6_000, 12, 4.0, 6
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     sample = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             grams = [x.tobytes() for x in features(_raw(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.binary())], names=["doc_id", "y", "grams"])
 
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
     def run(batches):
         squares, products, bias = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             margins = [products[g].sum(dtype=np.float64) / (np.sqrt(squares[g].sum(dtype=np.float64)) or 1.0) + bias for g in features(_raw(batch.column(1)))]
             p = np.round(1 / (1 + np.exp(-np.clip(np.array(margins, np.float64), -30, 30))), 9)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])

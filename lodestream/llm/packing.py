@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .util import read
+from .util import read, slices
 
 LENGTH, END, GROUP = 1024, 2, 16_384
 #: The search looks at so many underfull bins at a time, those with the most room, and takes so many steps in a group.
@@ -30,8 +30,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     last = end.to_bytes(4, "little")
 
     def run(batches):
-        encode = bpe.trie(source.value).plain()
-        for batch in batches:
+        encode = bpe.ready(source.value)
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             out = []
             for a, b in bpe.blocks(texts):

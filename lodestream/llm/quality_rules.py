@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import read
+from .util import read, slices
 
 #: Bytes in an n-gram; bits of its hash.
 GRAM, BITS = 4, 16
@@ -86,7 +86,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     def run(batches):
         counts = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts, chosen = _raw(batch.column(0)), batch.column(1).to_pylist()
             for a, b in _blocks(texts):
                 counts[1] += np.bincount(buckets(texts[a:b])[0], minlength=1 << BITS)
@@ -134,7 +134,7 @@ def score(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = verdicts(_raw(batch.column(1)), batch.column(1), weights.value, threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names=names)
 
@@ -169,7 +169,7 @@ def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(verdicts(_raw(batch.column(at)), batch.column(at), weights.value, threshold)[-1]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import fresh, materialize, read
+from .util import fresh, materialize, read, slices
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a bucket from which it is dealt again; rows that one call looks at, on average.
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp bigint): the signed form of each whole text's fingerprint; null texts count as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [simhash(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 

@@ -20,20 +20,19 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .suffix_sort import sort_suffixes
-from .util import materialize, read
+from .util import materialize, read, release
 
 MATCH, GRAM = 50, 16
 #: Byte between the strings of a shard: never part of UTF-8.
 BORDER = 0xFF
 #: Anchors in a bucket, bytes whose suffixes are sorted at a time, and bytes of text that are hashed at a time; a document may be longer.
-BUCKET, SORTED, BLOCK = 1_500_000, 3 << 20, 1 << 20
+BUCKET, SORTED, BLOCK = 1_500_000, 2 << 20, 1 << 20
 #: Bytes of text for which there is a shard; a shard gets the strings of shared anchors, up to four times as much if all are.
 SHARD = 16 << 20
 NO_ID = 2**63 - 1
@@ -66,7 +65,7 @@ def runs(texts: list[bytes]) -> list[np.ndarray]:
             out.append(_block_runs(np.frombuffer(b"".join(texts[start:end]), np.uint8), base, lengths, start))
         start = end
     if not out:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+        return [np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.uint64)]
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -91,7 +90,7 @@ def _block_runs(text: np.ndarray, base: np.ndarray, lengths: np.ndarray, first:
     last = np.concatenate((new[1:] - 1, [len(doc) - 1])) if len(doc) else new
     key = h[mine[new]]  # a least hash is small, so mix it again before hashes are dealt by their size
     key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return doc[new] + first, place[new], place[last], key ^ (key >> np.uint64(32))
+    return (doc[new] + first).astype(np.int32), place[new].astype(np.int32), place[last].astype(np.int32), key ^ (key >> np.uint64(32))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -186,12 +185,13 @@ def covered(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], spans[starts, 1], reach[ends] - spans[starts, 0] * (1 << 40)], axis=1)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept binary, spans array<struct<start, stop>> of the maximal removed runs.
 
     Every byte goes that a string of ``MATCH`` bytes covers which also starts in a document with a smaller id. Null
     texts are empty, null ids come after all others, rows with one id don't count as each other's earlier documents; an
-    empty table gives no rows. The columns in ``carry`` come along. ``docs`` is written to the shared folder first unless it is ``stored``, a plain read of a table.
+    empty table gives no rows. The columns in ``carry`` come along. With
+    ``as_text`` kept is a string, without what is left of a cut character. ``docs`` is written to the shared folder first unless it is ``stored``, a plain read of a table.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
@@ -218,6 +218,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for k in range(buckets):
             if cut[k + 1] > cut[k]:
                 yield k, (part, own[cut[k] : cut[k + 1]].tobytes())
+        release()
 
     def answer(item):
         bucket, blobs = item
@@ -235,6 +236,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send_strings(part, pairs):
         for rows, answers in pairs:
             ids, texts = rows_of(rows)
+            rows.clear()
             if not answers:
                 continue
             doc, first, last, h = runs(texts)
@@ -256,6 +258,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 strings = b"".join([texts[d][a : b + MATCH] for d, a, b in spans])
                 sizes = (last[s] - first[s]).astype(np.uint8)
                 yield k, (part, len(sizes), _pack(doc[s].astype(np.int32), ids[doc[s]], first[s].astype(np.int32), h[s], sizes), zstandard.compress(strings, 3))
+        release()
 
     def sort_shard(item):
         held = []
@@ -276,6 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rows.append((part, doc[mine].astype(np.int64), ids[mine], first[mine].astype(np.int64), strings))
             for part, found in settle(rows).items() if rows else ():
                 spans.setdefault(part, []).extend(found)
+        held.clear()
+        release()
         for part, found in spans.items():
             yield part, zlib.compress(covered(np.concatenate(found)).astype(np.int32).tobytes(), 1)
 
@@ -291,13 +296,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     left.append(raw[at:a])
                     at = b
                 left.append(raw[at:])
-                yield doc, len(raw), bytearray(b"".join(left)), [(a, b) for a, b in cut], *rest
+                kept = b"".join(left)
+                yield doc, len(raw), kept.decode("utf-8", "ignore") if as_text else bytearray(kept), [(a, b) for a, b in cut], *rest
+        release()
 
     anchors = base.mapPartitionsWithIndex(send_anchors).groupByKey(buckets).flatMap(answer)
     strings = back(anchors, base.getNumPartitions()).mapPartitionsWithIndex(send_strings)
     spans = strings.groupByKey(shards).flatMap(sort_shard)
     kept = back(spans, base.getNumPartitions()).mapPartitions(keep)
-    schema = T._parse_datatype_string("doc_id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,stop:bigint>>")
+    schema = T._parse_datatype_string(f"doc_id bigint, n_bytes bigint, kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,stop:bigint>>")
     return spark.createDataFrame(kept, T.StructType([*schema, *(plain.schema[c] for c in carry)]), verifySchema=False)
 
 
@@ -305,16 +312,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the repeated bytes taken out of the text; what is left of a cut character goes too. Every row stays."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     hidden = {c: f"_{k}" for k, c in enumerate(others)}
-    out = remove_repeats(docs.withColumnsRenamed(hidden), id_col, text_col, carry=list(hidden.values()), **options)
-
-    def run(batches):
-        for batch in batches:
-            texts = pa.array([t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], names=["doc_id", "text", *batch.schema.names[2:]])
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(out.schema[c] for c in hidden.values())])
-    whole = out.select("doc_id", "kept", *hidden.values()).mapInArrow(run, schema)
-    whole = whole.withColumnsRenamed({v: k for k, v in hidden.items()} | {"doc_id": id_col, "text": text_col})
+    out = remove_repeats(docs.withColumnsRenamed(hidden), id_col, text_col, carry=list(hidden.values()), as_text=True, **options)
+    whole = out.select(F.col("doc_id").alias(id_col), F.col("kept").alias(text_col), *[F.col(v).alias(k) for k, v in hidden.items()])
     return whole.select(*docs.columns)
 
 
