@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup
+from lodestream.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, suffix_dedup
 from lodestream.llm.util import materialize, read, small_batches
 
 
@@ -24,9 +24,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of at least 0.8."""
     small_batches(spark)
-    return simhash.drop_near(docs)
+    return near_dedup.drop_near(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("simhash", near), ("suffix_dedup", passages), ("packing", pack)]
 
-#: SQL can't express hashed likelihood ratios, SimHash components or BPE; tests compare with brute force.
+#: SQL can't express hashed likelihood ratios, components of near copies or BPE; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,130 @@
+"""Near copies by exact Jaccard similarity of word shingles: prefix filter, count filter, exact check.
+
+Put the shingles of all sets in one order. If two sets have at least ``o`` shingles in common, the first ``m`` of
+these are among the first ``n - o + m`` of either set, whatever the order. With ``o`` the least overlap that the
+similarity asks of a set of n, every pair that is similar enough shares ``m`` of its prefix shingles, with certainty;
+pairs that do are compared whole. Nothing is drawn at random and no bucket is left out.
+
+The order puts shingles that many sets share last, which keeps candidates few; it doesn't change the result. Sets are
+first compared with the least set of each shared shingle. A dense group is joined by that, and only pairs that
+are still apart are looked at after it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .simhash import digests
+from .util import fresh, materialize, slices
+
+SHINGLE, PERCENT = 5, 80
+#: Prefix shingles that a pair must share; sets from which a shingle is ordered late, and how many such at most (only for speed).
+SHARED, COMMON, LATE = 8, 8, 1 << 17
+
+
+def shingles(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 hashes of all word shingles, A-Z lower-cased, in order; a shorter text is one shingle, none without words."""
+    return np.unique(np.frombuffer(b"".join(digests(raw, shingle)), np.uint64))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(row, doc_id, name, grams): ``name`` is a hash of the whole set, ``grams`` the set; null texts count as empty."""
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingles(t or b"", shingle).tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            names = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(sets, pa.binary())], names=["row", "doc_id", "name", "grams"])
+
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return plain.mapInArrow(run, "row bigint, doc_id bigint, name bigint, grams binary")
+
+
+def prefixes(sets: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
+    """(node, size, least, key): the prefix of each set, where the hashes in ``late`` come last; a similar set shares ``least`` or its own."""
+    last = sets.sparkSession.sparkContext.broadcast(late)
+    shared = SHARED
+
+    def run(batches):
+        for batch in slices(batches, 200):
+            out = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                overlap = -(-percent * len(x) // 100)
+                least = min(shared, overlap)
+                if len(last.value):
+                    at = np.minimum(np.searchsorted(last.value, x), len(last.value) - 1)
+                    common = last.value[at] == x
+                    x = np.concatenate((x[~common], x[common]))
+                key = x[: len(x) - overlap + least].view(np.int64)
+                for column, value in zip(out, (row, len(x), least), strict=False):
+                    column.append(np.full(len(key), value, np.int64))
+                out[3].append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["node", "size", "least", "key"])
+
+    return sets.select("row", "grams").mapInArrow(run, "node bigint, size bigint, least bigint, key bigint")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of at least ``percent``."""
+
+    def run(batches):
+        for batch in slices(batches, 200):
+            kept = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    of = lambda node, grams: sets.select(F.col("row").alias(node), F.col("grams").alias(grams))
+    return pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links among distinct sets (row, grams) that join all pairs that are alike, directly or not."""
+    often = prefixes(sets, np.zeros(0, np.uint64), percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
+    late = np.array([r[0] for r in often.orderBy(F.desc("n"), "key").limit(LATE).select("key").collect()], np.int64).view(np.uint64)
+    rows = materialize(prefixes(sets, np.sort(late), percent), "near-prefixes")
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1").drop("n")
+    shared = materialize(rows.join(counted, "key"), "near-shared")
+    star = shared.filter("node != first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
+    joined = materialize(alike(star.filter("n >= least"), sets, percent), "near-stars")
+    rooted = shared.join(components(joined).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted.select("key", "node", "size", "least", "root"), "near-roots")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    apart = rooted.join(mixed, "key")
+    one, two = (apart.select("key", *[F.col(c).alias(c + k) for c in ("node", "size", "least", "root")]) for k in "12")
+    fits = (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
+    pairs = one.join(two, "key").filter(fits).groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("least1", "least2")).alias("least"))
+    return joined.unionByName(materialize(alike(pairs.filter("n >= least"), sets, percent), "near-pairs"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest id that links reach, itself included).
+
+    Documents are linked if their sets of shingles have a Jaccard similarity of at least ``percent``; equal sets are, those
+    of texts without words too. Repeated rows stay; null ids never name a component that has others. An empty
+    table gives no rows; other columns are ignored.
+    """
+    own = materialize(shingle_sets(docs, id_col, text_col, shingle), "near-sets")
+    nodes = materialize(own.groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "near-nodes")
+    sets = own.join(nodes.select(F.col("node").alias("row")), "row").select("row", "grams")
+    roots = components(links(materialize(sets, "near-distinct"), percent))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("name", "component_id")
+    return own.select("doc_id", "name").join(materialize(named, "near-names"), "name").select("doc_id", "component_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id names their component: one document of each group stays, all columns unchanged.
+
+    Rows that repeat the id that stays are that document and stay too, as do rows without an id."""
+    (number,) = fresh(docs, "lost")
+    lost = near_groups(docs, id_col, text_col, **options).filter("doc_id != component_id").select(F.col("doc_id").alias(number)).distinct()
+    return docs.join(materialize(lost, "near-lost"), F.col(id_col) == F.col(number), "left_anti")

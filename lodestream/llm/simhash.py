@@ -26,17 +26,25 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 SPLIT, CHUNK = 20_000, 100_000
 
 
-def simhash(raw: bytes, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the XXH64 hashes (seed 42) of all word shingles, A-Z lower-cased; 0 without words."""
+def digests(raw: bytes, shingle: int) -> list[bytes]:
+    """XXH64 hashes (seed 42) of all word shingles, A-Z lower-cased; a shorter text is one shingle, none without words."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     of = xxhash.xxh64_digest
-    hashes = [of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)]
+    return [of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)]
+
+
+def simhash(raw: bytes, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the XXH64 hashes (seed 42) of all word shingles, A-Z lower-cased; 0 without words."""
+    hashes = digests(raw, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
 

@@ -373,3 +373,36 @@ def test_pipeline(spark):
     got = p.STAGES[-1][1](spark, docs, SMALL)
     assert {r.doc_id for r in got.collect()} == set(before)
     assert p.run(spark, SMALL).count() == got.count()
+
+
+@pytest.mark.parametrize("common", [8, 0])
+def test_near_stage_equals_brute_force(spark, common, monkeypatch):
+    """Copies with a changed word or more are found however many bits their SimHash differs in, and others stay."""
+    import corpus_pipeline
+    from lodestream.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "COMMON", common)
+    rng = random.Random(7)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([60, 120, 200]))]
+        texts.append(words)
+        for changes in (1, 2, 3, 4, 5, 6, 8):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            texts.append(copy)
+    texts += [["Short", "text"], ["short", "TEXT"], [], [" "]]
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == set(root) and 12 < len(kept) < len(texts) - 12
+    far = [(a, b) for a in range(len(texts)) for b in range(a) if root[a] == root[b] and (simhash.simhash(texts[a].encode()) ^ simhash.simhash(texts[b].encode())).bit_count() > 3]
+    assert far
