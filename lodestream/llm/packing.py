@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences, improved by swap-based local search.
 
 Documents are tokenised and cut into pieces in one map; only the pieces' sizes are shuffled, into random groups
-of about ``GROUP`` documents, whatever the input. In a group a best-fit pass gives the first bins. Then the
-emptiest underfull bins are taken apart: a piece moves to another underfull bin, is exchanged for a smaller
-piece, or two pieces are exchanged for one, if the sum of squared fills grows. Bins that come out empty are gone.
+of about ``GROUP`` documents, whatever the input. In a group a best-fit pass gives the first bins. Then
+underfull bins are taken apart, emptiest first: a piece moves to another underfull bin, is exchanged for a smaller
+piece, or two pieces are exchanged for one, if the sum of squared fills grows. Bins that come out empty are gone. The
+search ends when no such step is left in the group.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from . import bpe
 from .util import read, slices
 
 LENGTH, END, GROUP = 1024, 2, 16_384
-#: The search looks at so many underfull bins at a time, those with the most room, and takes so many steps in a group.
-NEAR, STEPS = 256, 4_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
@@ -72,77 +71,120 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+class _Underfull:
+    """Bins with room by their room, and their pieces by size and room, so the best partner of a size is looked up, not searched."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.capacity, self.kinds = capacity, np.unique(sizes)
+        self.kind = np.searchsorted(self.kinds, sizes).tolist()
+        self.by_room: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+        self.rooms = 0
+        self.cells: dict[tuple[int, int], dict[int, None]] = {}
+        self.there = np.zeros((len(self.kinds), capacity + 1), bool)
+        #: For each size and room the least room that is as large and that a bin with such a piece has; capacity + 1 if none.
+        self.least = np.full((len(self.kinds), capacity + 1), capacity + 1, np.int32)
+
+    def _row(self, kind: int) -> None:
+        at = np.where(self.there[kind], np.arange(self.capacity + 1), self.capacity + 1)
+        self.least[kind] = np.minimum.accumulate(at[::-1])[::-1]
+
+    def add(self, b: int, room: int, pieces: list[int]) -> None:
+        if not 0 < room < self.capacity:
+            return
+        self.by_room[room][b] = None
+        self.rooms |= 1 << room
+        for i in pieces:
+            cell = self.cells.setdefault((self.kind[i], room), {})
+            if not cell:
+                self.there[self.kind[i], room] = True
+                self._row(self.kind[i])
+            cell[i] = None
+
+    def remove(self, b: int, room: int, pieces: list[int]) -> None:
+        if not 0 < room < self.capacity:
+            return
+        del self.by_room[room][b]
+        if not self.by_room[room]:
+            self.rooms ^= 1 << room
+        for i in pieces:
+            cell = self.cells[self.kind[i], room]
+            del cell[i]
+            if not cell:
+                del self.cells[self.kind[i], room]
+                self.there[self.kind[i], room] = False
+                self._row(self.kind[i])
+
+    def best(self, fill: int, own: list[int], sizes: list[int]):
+        """The step out of a bin (not in here) that raises the sum most: (pieces given, piece taken, other bin or None); None if none does."""
+        ones, given = {}, {}
+        for i in own:
+            ones.setdefault(sizes[i], i)
+        for size, i in ones.items():
+            given[size] = (i,)
+        distinct = {}
+        for i in own:
+            distinct.setdefault(sizes[i], []).append(i)
+        firsts = [x for same in distinct.values() for x in same[:2]]
+        for k, x in enumerate(firsts):
+            for y in firsts[k + 1 :]:
+                given.setdefault(sizes[x] + sizes[y], (x, y))
+        best, choice = 0, None
+        for size, i in ones.items():  # into another bin: the fullest that has room
+            fitting = self.rooms >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                gain = 2 * size * (self.capacity - room + size - fill)
+                if gain > best:
+                    best, choice = gain, ((i,), None, next(iter(self.by_room[room])))
+        g = np.fromiter(given, np.int64, len(given))
+        more = g[:, None] - self.kinds  # what the other bin gains in the exchange
+        ok = (more > 0) & (more <= self.capacity)
+        room = self.least[np.arange(len(self.kinds)), np.where(ok, more, 0)]
+        gains = np.where(ok & (room <= self.capacity), 2 * more * (self.capacity - room + more - fill), 0)
+        k = int(np.argmax(gains))
+        if gains.flat[k] > best:
+            k, kind = divmod(k, len(self.kinds))
+            choice = (given[int(g[k])], next(iter(self.cells[kind, int(room[k, kind])])), None)
+        return choice
+
+
 def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Better bins by moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills.
 
-    Ends at the least number of bins, when no step out of any of the ``NEAR`` emptiest bins helps, or after ``STEPS`` steps.
+    Partners are looked for in all underfull bins. Ends at the least number of bins, or when no step out of any bin helps.
     """
-    bins = bins.copy()
-    fill = np.bincount(bins, sizes, minlength=1).astype(np.int64)
-    least = -(-int(sizes.sum()) // capacity)
+    bins, least = bins.tolist(), -(-int(sizes.sum()) // capacity)
     held: dict[int, list[int]] = {}
-    for i, b in enumerate(bins.tolist()):
+    for i, b in enumerate(bins):
         held.setdefault(b, []).append(i)
-    count, stuck = len(held), set()
-    near = np.zeros(0, np.int64)
-    for step in range(STEPS):
-        if count <= least:
-            break
-        if step % 32 == 0 or not len(near):
-            under = np.flatnonzero((fill > 0) & (fill < capacity))
-            near = under[np.argsort(fill[under], kind="stable")[:NEAR]]
-        near = near[(fill[near] > 0) & (fill[near] < capacity)]
-        tries = [b for b in near.tolist() if b not in stuck]
-        if not tries:
-            break
-        a = min(tries, key=fill.__getitem__)
-        items = np.array([i for b in near.tolist() if b != a for i in held[b]], np.int64)
-        changed = _step(sizes, bins, fill, capacity, held[a], a, items) if len(items) else None
-        if changed is None:
-            stuck.add(a)
-            continue
-        xs, y, b = changed
-        held[a] = [i for i in held[a] if i not in xs] + ([y] if y is not None else [])
-        held[b] = [i for i in held[b] if i != y] + list(xs)
-        stuck.discard(b)
-        if not held[a]:
-            count -= 1
-            stuck.clear()
-    return bins
-
-
-def _step(sizes, bins, fill, capacity, own, a, items):
-    """Makes the best move or exchange out of bin ``a`` and returns (pieces given, piece taken, other bin); None if none raises the sum."""
-    room = capacity - fill[bins[items]]
-    given = [((x,), int(sizes[x])) for x in own] + [((x, y), int(sizes[x] + sizes[y])) for k, x in enumerate(own) for y in own[k + 1 :]]
-    best, choice = 0, None
-    for xs, size in given:
-        if len(xs) == 1:  # into another bin: the fullest that has room
-            fits = np.flatnonzero(room >= size)
-            if len(fits):
-                k = fits[np.argmin(room[fits])]
-                gain = 2 * size * (int(fill[bins[items[k]]]) + size - int(fill[a]))
-                if gain > best:
-                    best, choice = gain, (xs, None, int(bins[items[k]]))
-        more = size - sizes[items]  # what the other bin gains in the exchange
-        fits = np.flatnonzero((more > 0) & (more <= room))
-        if len(fits):
-            gains = 2 * more[fits] * (fill[bins[items[fits]]] + more[fits] - fill[a])
-            k = int(np.argmax(gains))
-            if gains[k] > best:
-                best, choice = int(gains[k]), (xs, int(items[fits[k]]), int(bins[items[fits[k]]]))
-    if choice is None:
-        return None
-    xs, y, b = choice
-    for x in xs:
-        fill[a] -= sizes[x]
-        fill[b] += sizes[x]
-        bins[x] = b
-    if y is not None:
-        fill[b] -= sizes[y]
-        fill[a] += sizes[y]
-        bins[y] = a
-    return choice
+    index, sizes = _Underfull(sizes, capacity), sizes.tolist()
+    fill = {b: sum(sizes[i] for i in own) for b, own in held.items()}
+    for b, own in held.items():
+        index.add(b, capacity - fill[b], own)
+    changed = True
+    while changed and len(held) > least:
+        changed = False
+        for a in sorted((b for b in held if fill[b] < capacity), key=lambda b: (fill[b], b)):
+            while a in held and fill[a] < capacity and len(held) > least:
+                index.remove(a, capacity - fill[a], held[a])
+                step = index.best(fill[a], held[a], sizes)
+                if step is None:
+                    index.add(a, capacity - fill[a], held[a])
+                    break
+                changed = True
+                xs, y, b = step
+                b = bins[y] if b is None else b
+                index.remove(b, capacity - fill[b], held[b])
+                held[a] = [i for i in held[a] if i not in xs] + ([y] if y is not None else [])
+                held[b] = [i for i in held[b] if i != y] + list(xs)
+                for c in (a, b):
+                    fill[c] = sum(sizes[i] for i in held[c])
+                    for i in held[c]:
+                        bins[i] = c
+                    index.add(c, capacity - fill[c], held[c])
+                if not held[a]:
+                    del held[a], fill[a]
+    return np.array(bins, np.int64)
 
 
 def place(sizes: np.ndarray, capacity: int = LENGTH) -> np.ndarray:

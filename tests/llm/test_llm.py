@@ -406,3 +406,19 @@ def test_near_stage_equals_brute_force(spark, common, monkeypatch):
     assert kept == set(root) and 12 < len(kept) < len(texts) - 12
     far = [(a, b) for a in range(len(texts)) for b in range(a) if root[a] == root[b] and (simhash.simhash(texts[a].encode()) ^ simhash.simhash(texts[b].encode())).bit_count() > 3]
     assert far
+
+
+def test_local_search_ends_at_an_optimum():
+    """No move, exchange or two-for-one exchange between any two underfull bins raises the sum of squared fills."""
+    sizes = np.random.default_rng(0).integers(257, 511, 2000)
+    bins = packing.local_search(sizes, packing.best_fit(sizes, 1024), 1024)
+    fill = np.bincount(bins, sizes).astype(int)
+    under = np.flatnonzero(fill[bins] < 1024)
+    assert len(set(bins.tolist())) > -(-sizes.sum() // 1024)
+    for a in {int(b) for b in bins[under]}:
+        own = np.flatnonzero(bins == a)
+        other = under[bins[under] != a]
+        y, to = np.concatenate((np.zeros(len(other), int), sizes[other])), np.tile(fill[bins[other]], 2)
+        for k, given in enumerate([*sizes[own], *(sizes[i] + sizes[j] for n, i in enumerate(own) for j in own[n + 1 :])]):
+            ok = (given > y) & (to + given - y <= 1024) & ((y > 0) | (k < len(own)))
+            assert not (ok & (2 * (given - y) * (to + given - y - fill[a]) > 0)).any()
