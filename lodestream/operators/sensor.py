@@ -119,8 +119,8 @@ def physical_state(low: Column, high: Column) -> Column:
     return F.when(high > HIGH, "FAULT_HIGH").when(low < LOW, "FAULT_LOW").when(high > ELEVATED, "ELEVATED").when(low < COOL, "COOL").otherwise("NORMAL")
 
 
-def precursor_windows(r: DataFrame) -> DataFrame:
-    """Statistics of the readings 40 to 20 minutes before each fault; faults without such readings are left out.
+def _before_faults(r: DataFrame) -> DataFrame:
+    """(sensor, fault_seq) beside each reading 40 to 20 minutes before the fault.
 
     A range join on sensor and slot of 21 minutes: each fault meets only the readings of the two slots its window touches.
     """
@@ -128,8 +128,38 @@ def precursor_windows(r: DataFrame) -> DataFrame:
     faults = r.filter("status = 'FAULT'").select("sensor", F.col("minute").alias("fault"), F.col("seq").alias("fault_seq"))
     faults = faults.withColumn("slot", F.explode(F.array_distinct(F.array(slot(F.col("fault") - 40), slot(F.col("fault") - 20)))))
     seen = r.select("sensor", "minute", "seq", "t10", slot(F.col("minute")).alias("slot"))
-    joined = faults.join(seen, ["sensor", "slot"]).filter(F.col("minute").between(F.col("fault") - 40, F.col("fault") - 20))
-    return joined.groupBy("sensor", "fault_seq").agg(F.count(F.lit(1)).alias("n"), F.min("t10").alias("min_t10"), F.max("t10").alias("max_t10"), F.sum("t10").alias("sum_t10"))
+    return faults.join(seen, ["sensor", "slot"]).filter(F.col("minute").between(F.col("fault") - 40, F.col("fault") - 20))
+
+
+def precursor_windows(r: DataFrame) -> DataFrame:
+    """Statistics of the readings 40 to 20 minutes before each fault; faults without such readings are left out."""
+    return _before_faults(r).groupBy("sensor", "fault_seq").agg(F.count(F.lit(1)).alias("n"), F.min("t10").alias("min_t10"), F.max("t10").alias("max_t10"), F.sum("t10").alias("sum_t10"))
+
+
+def _precursor(n: Column, low: Column, high: Column, total: Column, velocity: Column) -> Column:
+    """A window as array of four: highest, mean, velocity (two degrees a reading are 1) and anomaly flag."""
+    flag = F.when((high > HIGH) | (low < LOW), 1.0).otherwise(0.0)
+    return F.array(_unit(high), _unit(total / n), F.least(F.greatest(velocity / 2.0, F.lit(-1.0)), F.lit(1.0)), flag)
+
+
+def precursor_match(r: DataFrame, cp: DataFrame, k: int = 3, last: int = 8, most: float = 0.35) -> DataFrame:
+    """``cp`` with precursor_pct: of the ``k`` nearest windows before the key's ``last`` faults so far, those within cosine
+    distance ``most``, as whole percent of ``k`` or of these faults if they are fewer. Faults without readings before them count as faults; 0 without faults."""
+    first, final = F.min_by("t10", "seq"), F.max_by("t10", "seq")
+    stats = _before_faults(r).groupBy("sensor", "fault_seq").agg(F.count(F.lit(1)).alias("n"), F.min("t10").alias("lo"), F.max("t10").alias("hi"), F.sum("t10").alias("total"), (final - first).alias("rise"))
+    vectors = stats.select("sensor", F.col("fault_seq").alias("seq"), _precursor(F.col("n"), F.col("lo"), F.col("hi"), F.col("total"), F.col("rise") / 10.0 / F.col("n")).alias("v"))
+    faults = r.filter("status = 'FAULT'").select("sensor", "seq").join(vectors, ["sensor", "seq"], "left")
+    known = faults.select("sensor", "seq", F.collect_list(F.struct("v")).over(ordered().rowsBetween(1 - last, 0)).alias("known"))
+    so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    told = r.select("sensor", "seq").join(known, ["sensor", "seq"], "left").select("sensor", "seq", F.last("known", ignorenulls=True).over(so_far).alias("known"))
+    ends = told.filter(F.col("seq") % CHECKPOINT == 0).select("sensor", F.floor((F.col("seq") - 1) / CHECKPOINT).alias("cp"), F.coalesce("known", F.array().cast("array<struct<v:array<double>>>")).alias("known"))
+    dot = lambda a, b: sum((a[j] * b[j] for j in range(1, 4)), a[0] * b[0])
+    q = _precursor(F.col("n"), F.col("min_t10"), F.col("max_t10"), F.col("sum_t10"), F.col("velocity"))
+    length = lambda x: F.sqrt(dot(q, q) * dot(x, x))
+    distance = lambda x: 1.0 - F.when(length(x) > 0, dot(q, x) / F.nullif(length(x), F.lit(0.0))).otherwise(0.0)
+    near = F.least(F.size(F.filter("known", lambda x: x["v"].isNotNull() & (F.round(distance(x["v"]), 6) <= most))), F.lit(k))
+    pct = F.when(F.size("known") == 0, 0).otherwise(F.floor(near * 100 / F.greatest(F.least(F.size("known"), F.lit(k)), F.lit(1))))
+    return cp.join(ends, ["sensor", "cp"]).withColumn("precursor_pct", pct.cast("int")).drop("known")
 
 
 def _unit(t10: Column) -> Column:

@@ -88,6 +88,11 @@ def _scored(spark, d):
     return T.score(_features(spark, d))
 
 
+def scored_with_precursors(r):
+    """All ten signals. The queries with SQL use ``_scored``: their SQL has no precursor match."""
+    return T.score(T.features(r, S.precursor_match(r, S.checkpoints(r))), F.col("precursor_pct"))
+
+
 def _checkpoint_columns(df):
     return df.select("sensor", "cp", "n", "min_t10", "max_t10", "sum_t10", "first_t10", "last_t10", "minute", "has_anomaly", "has_fault", "velocity")
 
@@ -140,7 +145,7 @@ def tfi_features(spark, d):
 
 
 def tfi_gated(spark, d):
-    return T.gated(_scored(spark, d))
+    return T.gated(scored_with_precursors(_readings(spark, d)))
 
 
 def tfi_posterior(spark, d):

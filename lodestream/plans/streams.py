@@ -6,13 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import faults as T
 from ..operators import sensor as S
 from ..sources import files
 from ..sources.shared import shared_dir
 from ..streaming import sensor as stream
 from .common import table
-from .sensor import ANOM, WITH
+from .sensor import ANOM, WITH, scored_with_precursors
 
 
 def _folder(spark) -> str:
@@ -46,7 +45,7 @@ def stream_newest(spark, d):
 def stream_gated(spark, d):
     """Scored checkpoints written as files, and the gate over them as a stream: one batch holds them all."""
     r = S.readings(table(spark, d, "events"))
-    scored = T.score(T.features(r, S.checkpoints(r))).select("sensor", "cp", "fired", "has_anomaly")
+    scored = scored_with_precursors(r).select("sensor", "cp", "fired", "has_anomaly")
     path = _folder(spark)
     scored.write.parquet(path)
     live = spark.readStream.schema(scored.schema).parquet(path)

@@ -133,3 +133,51 @@ def test_sources(spark, tmp_path):
     changes = spark.createDataFrame([(2, "c", False), (1, "", True), (3, "d", False)], "id int, v string, _deleted boolean")
     assert sorted(tuple(r) for r in files.upsert(state, changes, "id").collect()) == [(2, "c"), (3, "d")]
     assert files.markdown(state.orderBy("id")).splitlines()[2] == "| 1 | a |"
+
+
+def test_precursor_match(spark):
+    """Per checkpoint the 3 nearest of the windows before the last 8 faults, within 0.35, by hand."""
+    import math
+
+    from lodestream.operators import faults as T
+    from lodestream.operators import sensor as S
+
+    rng = random.Random(3)
+    data = [(s, 3 * i, rng.choice([30, 120, 210, 270, 300]) + rng.randrange(9), rng.choice(["OK"] * 5 + ["FAULT"]) if s else "OK", i + 1) for s in (0, 1, 2) for i in range(240)]
+    r = spark.createDataFrame(data, "sensor bigint, minute bigint, t10 bigint, status string, seq bigint")
+
+    def vector(ts):
+        unit = lambda x: max(-1.0, min(1.0, x))
+        return [unit((max(ts) / 10 - 20) / 20), unit((sum(ts) / len(ts) / 10 - 20) / 20), unit((ts[-1] - ts[0]) / 10 / len(ts) / 2), float(max(ts) > 280 or min(ts) < 50)]
+
+    def distance(a, b):
+        n = math.hypot(*a) * math.hypot(*b)
+        return 1 - sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 1.0
+
+    want = {}
+    for s in (0, 1, 2):
+        own = [x for x in data if x[0] == s]
+        for cp in range(12):
+            faults = [x for x in own[: 20 * cp + 20] if x[3] == "FAULT"][-8:]
+            before = [[y[2] for y in own if f[1] - 40 <= y[1] <= f[1] - 20] for f in faults]
+            q = vector([x[2] for x in own[20 * cp : 20 * cp + 20]])
+            near = min(3, sum(round(distance(q, vector(b)), 6) <= 0.35 for b in before if b))
+            want[s, cp] = 100 * near // min(3, len(faults)) if faults else 0
+    cps = S.precursor_match(r, S.checkpoints(r))
+    got = {(x.sensor, x.cp): x.precursor_pct for x in cps.collect()}
+    assert got == want and len(set(want.values())) > 2
+    fired = T.score(T.features(r, cps), F.col("precursor_pct")).collect()
+    assert {(x.sensor, x.cp) for x in fired if "precursor_strong" in x.fired} == {k for k, v in want.items() if v >= 67}
+
+
+def test_gated_query_has_precursors(spark, monkeypatch):
+    from conftest import SMALL
+
+    from lodestream.operators import faults as T
+    from lodestream.plans import sensor, streams
+
+    seen, score = [], T.score
+    monkeypatch.setattr(T, "score", lambda f, pct=None: seen.append(pct is not None) or score(f, pct))
+    sensor.tfi_gated(spark, SMALL)
+    streams.stream_gated(spark, SMALL)
+    assert seen == [True, True]
