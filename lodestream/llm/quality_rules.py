@@ -5,8 +5,8 @@ document. A document's score is the mean log ratio of its n-grams, so long and s
 document is kept if it passes the base rules and its score is at least the threshold; nothing is drawn at random.
 
 Counting and scoring each read the corpus once in Arrow batches. Only the ``2**BITS`` counts come to the
-driver, whatever the input. The trusted documents are a bounded sample of the labelled ones: the
-``trusted_rows`` with the least hash of their id, so their ids have a bounded size as well and are broadcast.
+driver, whatever the input. All documents labelled good are trusted; they are marked by a join on the id, which
+Spark broadcasts only while the ids are few.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .util import read, slices
 
 #: Bytes in an n-gram; bits of its hash.
 GRAM, BITS = 4, 16
-#: Ids of trusted documents at most; the least mean log ratio (natural logarithm) of a kept document.
-TRUSTED_ROWS, THRESHOLD = 20_000, -0.25
+#: The least mean log ratio (natural logarithm) of a kept document.
+THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
 #: Bytes of text that are hashed at a time, or one document.
 BLOCK = 1 << 20
@@ -96,7 +96,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         seen = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[0][seen]), pa.array(counts[1][seen])], names=["bucket", "target", "corpus"])
 
-    marked = docs.join(F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good")).distinct()), F.col("doc_id") == F.col("_id"), "left")
+    marked = docs.join(trusted.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good")).distinct(), F.col("doc_id") == F.col("_id"), "left")
     per_task = marked.select("text", F.coalesce("_good", F.lit(False)).alias("good")).mapInArrow(run, "bucket int, target bigint, corpus bigint")
     return per_task.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("corpus").alias("corpus"))
 
@@ -142,30 +142,29 @@ def score(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def model(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
+def model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratios from (doc_id, text) and the trusted ones among the labelled documents."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)  # the parameter bounds what is broadcast
-    return log_ratios(gram_counts(docs, chosen))
+    return log_ratios(gram_counts(docs, good))
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, score and verdict of every document.
 
     Trusted are the documents that ``labels`` gives quality 1. Null texts count as empty and fail the base rules;
     repeated rows are judged alike; without trusted documents every score is 0; an empty table gives no rows.
     """
     plain = _plain(docs, id_col, text_col)
-    return score(plain, model(plain, labels, trusted_rows), threshold)
+    return score(plain, model(plain, labels), threshold)
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns unchanged, without a shuffle of texts."""
-    weights = docs.sparkSession.sparkContext.broadcast(model(_plain(docs, id_col, text_col), labels, trusted_rows))
+def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns unchanged."""
+    weights = docs.sparkSession.sparkContext.broadcast(model(_plain(docs, id_col, text_col), labels))
     at = docs.columns.index(text_col)
 
     def run(batches):

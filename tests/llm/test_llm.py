@@ -422,3 +422,15 @@ def test_local_search_ends_at_an_optimum():
         for k, given in enumerate([*sizes[own], *(sizes[i] + sizes[j] for n, i in enumerate(own) for j in own[n + 1 :])]):
             ok = (given > y) & (to + given - y <= 1024) & ((y > 0) | (k < len(own)))
             assert not (ok & (2 * (given - y) * (to + given - y - fill[a]) > 0)).any()
+
+
+def test_rules_trust_every_good_label(spark):
+    """More good labels than the 20,000 there once was room for: all of their n-grams count."""
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
+    good = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    taken = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "log_ratios", lambda counts: taken.extend(counts.collect()))
+        quality_rules.model(docs, good)
+    assert [(r.target, r.corpus) for r in taken] == [(n, n)]
