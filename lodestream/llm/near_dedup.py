@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,45 +32,42 @@ def shingles(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(row, doc_id, name, grams): ``name`` is a hash of the whole set, ``grams`` the set; null texts count as empty."""
+    """(row, doc_id, size, grams): each text's set, null texts count as empty; ``row`` differs for all rows."""
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingles(t or b"", shingle).tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            names = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(sets, pa.binary())], names=["row", "doc_id", "name", "grams"])
+            sets = [shingles(t or b"", shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            sizes, raw = pa.array(list(map(len, sets)), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, raw], names=["row", "doc_id", "size", "grams"])
 
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "row bigint, doc_id bigint, name bigint, grams binary")
+    return plain.mapInArrow(run, "row bigint, doc_id bigint, size bigint, grams binary")
 
 
 def prefixes(sets: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
-    """(node, size, least, key): the prefix of each set, where the hashes in ``late`` come last; a similar set shares ``least`` or its own."""
+    """(node, key): the prefix of each set, where the hashes in ``late`` come last."""
     last = sets.sparkSession.sparkContext.broadcast(late)
     shared = SHARED
 
     def run(batches):
         for batch in slices(batches, 200):
-            out = [[np.zeros(0, np.int64)] for _ in range(4)]
+            nodes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(raw, np.uint64)
                 overlap = -(-percent * len(x) // 100)
-                least = min(shared, overlap)
                 if len(last.value):
                     at = np.minimum(np.searchsorted(last.value, x), len(last.value) - 1)
                     common = last.value[at] == x
                     x = np.concatenate((x[~common], x[common]))
-                key = x[: len(x) - overlap + least].view(np.int64)
-                for column, value in zip(out, (row, len(x), least), strict=False):
-                    column.append(np.full(len(key), value, np.int64))
-                out[3].append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["node", "size", "least", "key"])
+                keys.append(x[: len(x) - overlap + min(shared, overlap)].view(np.int64))
+                nodes.append(np.full(len(keys[-1]), row, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], names=["node", "key"])
 
-    return sets.select("row", "grams").mapInArrow(run, "node bigint, size bigint, least bigint, key bigint")
+    return sets.select("row", "grams").mapInArrow(run, "node bigint, key bigint")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of at least ``percent``."""
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of at least ``percent``. Only sets that a pair names are moved."""
 
     def run(batches):
         for batch in slices(batches, 200):
@@ -82,43 +78,47 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    of = lambda node, grams: sets.select(F.col("row").alias(node), F.col("grams").alias(grams))
-    return pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    pairs = materialize(pairs.select("a", "b"), "near-candidates")
+    named = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "near-named")
+    used = materialize(sets.select("row", "grams").join(named, "row"), "near-used")
+    of = lambda node, grams: used.select(F.col("row").alias(node), F.col("grams").alias(grams))
+    return materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "near-alike")
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links among distinct sets (row, grams) that join all pairs that are alike, directly or not."""
+    """(a, b): links among sets (row, size, grams) that join all pairs that are alike and not empty, directly or not."""
     often = prefixes(sets, np.zeros(0, np.uint64), percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
     late = np.array([r[0] for r in often.orderBy(F.desc("n"), "key").limit(LATE).select("key").collect()], np.int64).view(np.uint64)
-    rows = materialize(prefixes(sets, np.sort(late), percent), "near-prefixes")
-    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1").drop("n")
-    shared = materialize(rows.join(counted, "key"), "near-shared")
-    star = shared.filter("node != first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
-    joined = materialize(alike(star.filter("n >= least"), sets, percent), "near-stars")
+    least = F.least(F.lit(SHARED), F.floor((F.col("size") * percent + 99) / 100))  # what a similar set shares of the prefix, or its own least
+    sizes = sets.select(F.col("row").alias("node"), "size", least.alias("least"))
+    lists = prefixes(sets, np.sort(late), percent).groupBy("key").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1)
+    shared = materialize(lists.select("key", F.array_min("nodes").alias("first"), F.explode("nodes").alias("node")), "near-shared")
+    star = shared.filter("node != first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    joined = alike(star.join(sizes, F.col("b") == F.col("node")).filter("n >= least"), sets, percent)
     rooted = shared.join(components(joined).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted.select("key", "node", "size", "least", "root"), "near-roots")
+    rooted = materialize(rooted.select("key", "node", "root").join(sizes, "node"), "near-roots")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     apart = rooted.join(mixed, "key")
     one, two = (apart.select("key", *[F.col(c).alias(c + k) for c in ("node", "size", "least", "root")]) for k in "12")
     fits = (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
     pairs = one.join(two, "key").filter(fits).groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("least1", "least2")).alias("least"))
-    return joined.unionByName(materialize(alike(pairs.filter("n >= least"), sets, percent), "near-pairs"))
+    return joined.unionByName(alike(pairs.filter("n >= least"), sets, percent))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest id that links reach, itself included).
 
-    Documents are linked if their sets of shingles have a Jaccard similarity of at least ``percent``; equal sets are, those
-    of texts without words too. Repeated rows stay; null ids never name a component that has others. An empty
-    table gives no rows; other columns are ignored.
+    Documents are linked if their sets of shingles have a Jaccard similarity of at least ``percent``; texts without words
+    are linked to each other. Repeated rows stay; null ids never name a component that has others. An empty table
+    gives no rows; other columns are ignored.
     """
     own = materialize(shingle_sets(docs, id_col, text_col, shingle), "near-sets")
-    nodes = materialize(own.groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "near-nodes")
-    sets = own.join(nodes.select(F.col("node").alias("row")), "row").select("row", "grams")
-    roots = components(links(materialize(sets, "near-distinct"), percent))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("name", "component_id")
-    return own.select("doc_id", "name").join(materialize(named, "near-names"), "name").select("doc_id", "component_id")
+    empty = own.filter("size = 0").agg(F.min("row")).first()[0]
+    without = own.filter(F.col("size") == 0).select(F.lit(empty).cast("bigint").alias("a"), F.col("row").alias("b"))
+    roots = components(links(own, percent).unionByName(without))
+    rooted = own.select("doc_id", "row").join(roots, F.col("row") == F.col("node"), "left").select("doc_id", F.coalesce("root", "row").alias("root"))
+    rooted = materialize(rooted, "near-rooted")
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
