@@ -4,9 +4,9 @@ Two multinomials over hashed byte n-grams are estimated: one from trusted docume
 document. A document's score is the mean log ratio of its n-grams, so long and short documents compare. A
 document is kept if it passes the base rules and its score is at least the threshold; nothing is drawn at random.
 
-Counting and scoring each read the corpus once in Arrow batches. Only the ``2**BITS`` counts come to the
-driver, whatever the input. All documents labelled good are trusted; they are marked by a join on the id, which
-Spark broadcasts only while the ids are few.
+Counting and scoring each read the corpus once. Only the ``2**BITS`` counts come to the driver, whatever the
+input. All documents labelled good are trusted: their ids are joined, without texts, and sent to the partitions
+that hold them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import read, slices
+from .util import materialize, read, release, sent_back, slices
 
 #: Bytes in an n-gram; bits of its hash.
 GRAM, BITS = 4, 16
@@ -82,23 +82,31 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, target, corpus): counts of each hashed n-gram in the trusted documents and in all; each task sums its own first."""
+    """(bucket, target, corpus): counts of each hashed n-gram in the trusted documents and in all; each task sums its own first.
 
-    def run(batches):
+    ``docs`` is a stored table (doc_id, text). Only ids are joined: each partition gets those of its ids that are trusted, and texts stay where they are read.
+    """
+    base = docs.rdd
+    at = docs.select("doc_id", F.spark_partition_id().alias("part"))
+    good = at.join(trusted.select("doc_id").distinct(), "doc_id").groupBy("part").agg(F.collect_set("doc_id").alias("ids"))  # ids of one split of the scan
+
+    def count(pairs):
         counts = np.zeros((2, 1 << BITS), np.int64)
-        for batch in slices(batches):
-            texts, chosen = _raw(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in _blocks(texts):
-                counts[1] += np.bincount(buckets(texts[a:b])[0], minlength=1 << BITS)
-            good = [t for t, c in zip(texts, chosen, strict=True) if c]
-            for a, b in _blocks(good):
-                counts[0] += np.bincount(buckets(good[a:b])[0], minlength=1 << BITS)
+        for rows, answers in pairs:
+            chosen = {i for _, ids in answers for i in ids}
+            own = [(i in chosen, (t or "").encode()) for i, t in rows]
+            rows.clear()
+            for row, texts in ((1, [t for _, t in own]), (0, [t for c, t in own if c])):
+                for a, b in _blocks(texts):
+                    counts[row] += np.bincount(buckets(texts[a:b])[0], minlength=1 << BITS)
         seen = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[0][seen]), pa.array(counts[1][seen])], names=["bucket", "target", "corpus"])
+        yield seen.tolist(), counts[0][seen].tolist(), counts[1][seen].tolist()
+        release()
 
-    marked = docs.join(trusted.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good")).distinct(), F.col("doc_id") == F.col("_id"), "left")
-    per_task = marked.select("text", F.coalesce("_good", F.lit(False)).alias("good")).mapInArrow(run, "bucket int, target bigint, corpus bigint")
-    return per_task.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("corpus").alias("corpus"))
+    per_task = sent_back(base, good.rdd.map(lambda r: (r.part, r.ids))).mapPartitions(count)
+    lists = docs.sparkSession.createDataFrame(per_task, "bucket array<int>, target array<bigint>, corpus array<bigint>", verifySchema=False)
+    rows = lists.select(F.inline(F.arrays_zip("bucket", "target", "corpus")))
+    return rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("corpus").alias("corpus"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
@@ -152,18 +160,24 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, stored: bool = False) -> DataFrame:
     """Base counts, score and verdict of every document.
 
     Trusted are the documents that ``labels`` gives quality 1. Null texts count as empty and fail the base rules;
-    repeated rows are judged alike; without trusted documents every score is 0; an empty table gives no rows.
+    repeated rows are judged alike, rows with a null id are never trusted; without trusted documents every score is 0;
+    an empty table gives no rows; other columns are ignored. ``docs`` is written to the shared folder first unless it is ``stored``, a plain read of a table.
     """
     plain = _plain(docs, id_col, text_col)
+    plain = plain if stored else materialize(plain, "quality-docs")
     return score(plain, model(plain, labels), threshold)
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns unchanged."""
+def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, stored: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns unchanged.
+
+    Null and empty texts go, as they fail the base rules; repeated rows stay or go together; null ids are judged like
+    others; an empty table gives no rows."""
+    docs = docs if stored else materialize(docs, "quality-docs")
     weights = docs.sparkSession.sparkContext.broadcast(model(_plain(docs, id_col, text_col), labels))
     at = docs.columns.index(text_col)
 
@@ -175,4 +189,4 @@ def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), stored=True)

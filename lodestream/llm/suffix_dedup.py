@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .suffix_sort import sort_suffixes
-from .util import materialize, read, release
+from .util import materialize, read, release, sent_back
 
 MATCH, GRAM = 50, 16
 #: Byte between the strings of a shard: never part of UTF-8.
@@ -225,14 +225,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part, bits in shared_anchors(list(blobs)):
             yield part, (bucket, bits)
 
-    def back(pairs, parts):
-        """One list for each partition, zipped with the partition's rows."""
-        dealt = pairs.partitionBy(parts, int)
-        n = dealt.getNumPartitions()
-        rows = base if n == base.getNumPartitions() else spark.sparkContext.union([base, spark.sparkContext.parallelize([], n - base.getNumPartitions())])
-        whole = lambda it: [list(it)]
-        return rows.mapPartitions(whole).zip(dealt.mapPartitions(whole))
-
     def send_strings(part, pairs):
         for rows, answers in pairs:
             ids, texts = rows_of(rows)
@@ -301,9 +293,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         release()
 
     anchors = base.mapPartitionsWithIndex(send_anchors).groupByKey(buckets).flatMap(answer)
-    strings = back(anchors, base.getNumPartitions()).mapPartitionsWithIndex(send_strings)
+    strings = sent_back(base, anchors).mapPartitionsWithIndex(send_strings)
     spans = strings.groupByKey(shards).flatMap(sort_shard)
-    kept = back(spans, base.getNumPartitions()).mapPartitions(keep)
+    kept = sent_back(base, spans).mapPartitions(keep)
     schema = T._parse_datatype_string(f"doc_id bigint, n_bytes bigint, kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,stop:bigint>>")
     return spark.createDataFrame(kept, T.StructType([*schema, *(plain.schema[c] for c in carry)]), verifySchema=False)
 
