@@ -20,7 +20,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays, null counting as empty and null ids last; one of rows that are equal in both."""
-    return exact_dedup.drop_copies(docs)
+    return exact_dedup.drop_copies(docs, stored=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

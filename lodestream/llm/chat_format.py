@@ -1,7 +1,7 @@
 r"""Relational chat formatting with Spark expressions only.
 
-Each conversation's turns are collected as structs and sorted; runs of turns of one role become one
-block, and the pieces are concatenated::
+Each conversation's turns are collected as structs and sorted; each run of turns of one role is merged into a block by
+aggregating its part of the array, and the pieces are concatenated::
 
     ### role: text</turn>\n            one turn
     ### role: text<+>text</turn>\n     adjacent turns of the same role, merged
@@ -39,29 +39,34 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     """One row per conversation: conv_id, formatted, segments array<struct<text, loss>>.
 
     ``formatted`` is the concatenation of the segments; ``loss`` marks the text of ``learn`` turns alone,
-    without headers, joints and ends. Turns come by (turn, role, text), nulls first, so ties are settled and
-    repeated rows stay. A null text or role is empty; a null conv_id is a conversation of its own. Extra columns
+    without headers, joints and ends. Turns come by (turn, role, text) as they are before escaping, a null turn first, so ties
+    are settled and repeated rows stay. A null text or role is empty. Rows with a null conv_id can't be told to belong together:
+    each is a conversation of its own, so they are no hot key. An empty table gives no rows, extra columns
     are ignored. A conversation is one string by definition, so it must fit a task; nothing else is gathered.
     """
     said = turns.select(
         F.col(conv_id).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.replace(escape(F.coalesce(F.col(role), F.lit(""))), F.lit(":"), F.lit("\\c")).alias("role"),
-            escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
-            (F.coalesce(F.col(role), F.lit("")) == learn).alias("loss"),
-        ).alias("t"),
+        F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("alone"),
+        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
-    sorted_turns = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    ordered = said.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    first = lambda i: (i == 1) | (F.get("turns", i - 2)["role"] != F.get("turns", i - 1)["role"])
+    starts = ordered.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("turns")), first))
 
-    def pieces(t: Column, i: Column) -> Column:
-        joined = (i > 0) & (F.get("turns", i - 1)["role"] == t["role"])
-        last = (i == F.size("turns") - 1) | (F.get("turns", i + 1)["role"] != t["role"])
+    def block(start: Column, k: Column) -> Column:
+        """A run of turns of one role, merged: its role and the array of its texts."""
+        end = F.coalesce(F.get("starts", k + 1), F.size("turns") + 1)
+        said = F.get("turns", start - 1)["role"]
+        return F.struct(said.alias("role"), F.transform(F.slice("turns", start, end - start), lambda t: escape(t["text"])).alias("texts"))
+
+    def segments(b: Column) -> Column:
         plain = lambda c: F.struct(c.alias("text"), F.lit(False).alias("loss"))
-        head = F.when(joined, F.lit(JOINT)).otherwise(F.concat(F.lit("### "), t["role"], F.lit(": ")))
-        return F.array(plain(head), F.struct(t["text"].alias("text"), t["loss"].alias("loss")), plain(F.when(last, F.lit(END)).otherwise(F.lit(""))))
+        head = F.concat(F.lit("### "), F.replace(escape(b["role"]), F.lit(":"), F.lit("\\c")), F.lit(": "))
+        texts = F.transform(b["texts"], lambda t, i: F.array(plain(F.when(i > 0, F.lit(JOINT)).otherwise(F.lit(""))), F.struct(t.alias("text"), (b["role"] == learn).alias("loss"))))
+        return F.concat(F.array(plain(head)), F.flatten(texts), F.array(plain(F.lit(END))))
 
-    out = sorted_turns.select("conv_id", F.flatten(F.transform("turns", pieces)).alias("segments"))
+    blocks = starts.select("conv_id", F.transform("starts", block).alias("blocks"))
+    out = blocks.select("conv_id", F.flatten(F.transform("blocks", segments)).alias("segments"))
     return out.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
@@ -101,19 +106,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL
 ), near AS (
   SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
          length(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l')) AS n_text,
          length(replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c')) AS n_role
-  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM said WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n_text + CASE WHEN before = role THEN 3 ELSE 6 + n_role END + CASE WHEN after = role THEN 0 ELSE 8 END) AS BIGINT) AS formatted_chars
-FROM near GROUP BY conv_id
+FROM near GROUP BY conv_id, alone
 """

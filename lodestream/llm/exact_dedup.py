@@ -2,8 +2,9 @@
 
 A frequent-items sketch (Misra-Gries counters, merged over all partitions) proposes digests that may
 be frequent. One exact count verifies them, and the verified winners, at most ``capacity`` rows of
-under 100 bytes, are broadcast: their copies are decided where they are read and never shuffled.
-All other digests are too rare to skew anything and go through an ordinary shuffle.
+under 100 bytes, are broadcast: all rows of such a digest are decided where they are read and never shuffled.
+Other digests go through an ordinary shuffle. The sketch can miss a digest of under 1/1000 of all rows, no more, so no
+task gets more of one digest than that.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .util import fresh, materialize, read
 
+WINNERS = "digest string, keep_id bigint, winner bigint, group_size bigint"
+
 
 def digest(text: Column) -> Column:
     """SHA-256 of the UTF-8 text as lowercase hex; null counts as empty."""
@@ -20,7 +23,7 @@ def digest(text: Column) -> Column:
 
 
 def heavy_hitters(keys: DataFrame, capacity: int, tracked: int, least: int) -> DataFrame:
-    """Verified frequent digests: (digest, keep_id, group_size), at most ``capacity`` rows.
+    """Verified frequent digests of (row, doc_id, digest): (digest, keep_id, winner, group_size), at most ``capacity`` rows.
 
     The sketch's error only decides which digests are proposed. Counts and winners are exact.
     """
@@ -28,16 +31,27 @@ def heavy_hitters(keys: DataFrame, capacity: int, tracked: int, least: int) -> D
     proposed = keys.agg(F.expr(f"approx_top_k(digest, {capacity}, {tracked})").alias("top")).select(F.explode("top").alias("t"))
     names = [r[0] for r in proposed.select("t.item").collect()]  # at most `capacity` digests
     if not names:
-        return spark.createDataFrame([], "digest string, keep_id bigint, group_size bigint")
+        return spark.createDataFrame([], WINNERS)
     listed = spark.createDataFrame([(x,) for x in names], "digest string")
-    exact = (
-        keys.join(F.broadcast(listed), "digest")
-        .groupBy("digest")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter(F.col("group_size") >= least)
-    )
-    rows = exact.collect()  # at most `capacity` rows
-    return spark.createDataFrame([tuple(r) for r in rows], "digest string, keep_id bigint, group_size bigint")
+    last = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("row")).alias("before")))
+    exact = keys.join(F.broadcast(listed), "digest").groupBy("digest").agg(last.alias("last"), F.count(F.lit(1)).alias("group_size"))
+    rows = exact.filter(F.col("group_size") >= least).select("digest", "last.doc_id", -F.col("last.before"), "group_size").collect()  # at most `capacity` rows
+    return spark.createDataFrame([tuple(r) for r in rows], WINNERS)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, capacity: int, tracked: int, least: int) -> DataFrame:
+    """(row, doc_id, keep_id, group_size, kept, text_sha256); ``row`` is the row's place in the scan."""
+    keys = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("digest")), "exact-keys")
+    marked = keys.join(F.broadcast(heavy_hitters(keys, capacity, tracked, least)), "digest", "left")
+    heavy, rest = marked.filter(F.col("winner").isNotNull()), marked.filter(F.col("winner").isNull())
+    group = Window.partitionBy("digest")
+    rest = rest.withColumns({
+        "rank": F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last(), "row")),
+        "keep_id": F.max("doc_id").over(group),
+        "group_size": F.count(F.lit(1)).over(group),
+    })
+    columns = lambda kept: ["row", "doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256")]
+    return heavy.select(*columns(F.col("row") == F.col("winner"))).unionByName(rest.select(*columns(F.col("rank") == 1)))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tracked: int = 8192, least: int = 24) -> DataFrame:
@@ -47,39 +61,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with the largest id stays (null ids come last). Rows that repeat both id and text are copies too:
     exactly one of them is kept. An empty table gives no rows; other columns are ignored.
     """
-    keys = materialize(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("digest")), "exact-keys")
-    heavy = F.broadcast(heavy_hitters(keys, capacity, tracked, least))
-    marked = keys.join(heavy, "digest", "left")
-    # A heavy group's losers are decided on the map side; its winner joins the rare ones, which settles repeated ids.
-    lost = marked.filter(F.col("keep_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    rest = marked.filter(F.col("keep_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    group = Window.partitionBy("digest")
-    rest = (
-        rest.withColumn("rank", F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last())))
-        .withColumn("keep_id", F.max("doc_id").over(group))
-        .withColumn("group_size", F.coalesce("group_size", F.count(F.lit(1)).over(group)))
-    )
-    columns = lambda kept: ["doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256")]
-    return lost.select(*columns(F.lit(False))).unionByName(rest.select(*columns(F.col("rank") == 1)))
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged. Only the ids of dropped rows are joined."""
-    groups = materialize(exact_groups(docs, id_col, text_col, **options), "exact-groups").filter(~F.col("kept"))
-    winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    own, lost, number = fresh(docs, "digest", "lost", "number")
-    rows = docs.withColumn(own, digest(F.col(text_col)))
-
-    def named(which: Column) -> DataFrame:
-        return groups.filter(which).select(F.col("doc_id").alias(number), F.col("text_sha256").alias(lost)).distinct()
-
-    same = (F.col(own) == F.col(lost)) & F.col(id_col).eqNullSafe(F.col(number))
-    out = rows.join(named(~winner), same, "left_anti")
-    if not groups.filter(winner).isEmpty():  # rows that repeat id and text: one of each stays
-        repeated = named(winner)
-        once = out.join(repeated, same, "left_semi").dropDuplicates([id_col, own])
-        out = out.join(repeated, same, "left_anti").unionByName(once)
-    return out.drop(own)
+    return _decided(docs, id_col, text_col, capacity, tracked, least).drop("row")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tracked: int = 8192, least: int = 24, stored: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged: of equal texts (null counts as empty) the row with the largest
+    id, null ids last, and one of rows that repeat both. An empty table stays empty.
+
+    Rows are told apart by their place in the scan, so no text or id is a hot key of the join. ``docs`` is written to the
+    shared folder first unless it is ``stored``, a plain read of a table."""
+    docs = docs if stored else materialize(docs, "exact-docs")
+    here, lost = fresh(docs, "row", "lost")
+    gone = materialize(_decided(docs, id_col, text_col, capacity, tracked, least).filter(~F.col("kept")).select(F.col("row").alias(lost)), "exact-lost")
+    placed = docs.withColumn(here, F.monotonically_increasing_id())
+    return placed.join(gone, F.col(here) == F.col(lost), "left_anti").drop(here)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +85,7 @@ OP10_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """

@@ -2,8 +2,8 @@
 
 A document's features are indicators of its hashed byte n-grams, seen at all and seen often. Each is scaled by the
 log ratio of its class counts, rows are brought to unit length, and a linear hinge-loss model is fitted by
-dual coordinate descent. The fit uses a bounded sample: the ``fit_rows`` labelled training rows with the least hash
-of their id, so the ids can be broadcast and the driver holds a few kilobytes for each. Scoring reads every text.
+dual coordinate descent. The fit uses a bounded sample: the ``fit_rows`` labelled training documents with the least hash
+of their id, as many of them as have ``fit_features`` features together, so the ids can be broadcast and the driver's share is bounded. Scoring reads every text.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import BITS, _blocks, _raw, buckets
-from .util import read, slices
+from .util import materialize, read, slices
 
-#: Labelled rows that a fit uses at most; passes over them; the hinge loss's weight against the norm; an n-gram is frequent from so many uses.
-FIT_ROWS, PASSES, COST, OFTEN = 6_000, 12, 4.0, 6
+#: Labelled documents that a fit uses at most, and features of all of them (4 bytes each come to the driver); passes over them; the hinge loss's weight against the norm; an n-gram is frequent from so many uses.
+FIT_ROWS, FIT_FEATURES, PASSES, COST, OFTEN = 6_000, 48_000_000, 12, 4.0, 6
 #: Features: n-grams that occur, n-grams that occur often, and runs of two, three and four equal words.
 RUNS = 2 << BITS
 SIZE = RUNS + 3
@@ -40,22 +40,12 @@ def word_runs(raw: bytes) -> list[int]:
 def features(texts: list[bytes]) -> list[np.ndarray]:
     """Ascending feature numbers of each text."""
     out = []
-    counts = np.zeros(1 << BITS, np.int32)
     for a, b in _blocks(texts):
         hashed, starts = buckets(texts[a:b])
         edges = [*starts.tolist(), len(hashed)]
         for raw, s, e in zip(texts[a:b], edges, edges[1:], strict=False):
-            grams = hashed[s:e]
-            if e - s > 20_000:
-                counts += np.bincount(grams, minlength=1 << BITS).astype(np.int32)
-                seen = np.flatnonzero(counts)
-                often = np.flatnonzero(counts >= OFTEN)
-                counts[:] = 0
-            else:
-                ordered = np.sort(grams)
-                first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if e > s else np.zeros(0, np.int64)
-                seen = ordered[first]
-                often = seen[np.diff(np.concatenate((first, [e - s]))) >= OFTEN]
+            seen, uses = np.unique(hashed[s:e], return_counts=True)
+            often = seen[uses >= OFTEN]
             out.append(np.concatenate((seen.astype(np.int32), often.astype(np.int32) + (1 << BITS), np.array(word_runs(raw), np.int32))))
     return out
 
@@ -94,8 +84,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(ratios, weights, bias) from labelled rows that aren't held out. Of several labels for an id the largest counts."""
+def sampled(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_features: int) -> list[tuple[int, int, bytes]]:
+    """(doc_id, label, features) of the documents that the fit uses. Of several labels for an id the largest counts, of several texts the last in byte order."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
@@ -105,7 +95,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.binary())], names=["doc_id", "y", "grams"])
 
     chosen = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    found = sorted(tuple(r) for r in chosen.mapInArrow(run, "doc_id bigint, y int, grams binary").collect())  # at most fit_rows documents
+    once = chosen.mapInArrow(run, "doc_id bigint, y int, grams binary").groupBy("doc_id", "y").agg(F.max("grams").alias("grams"))
+    stored = materialize(once, "fit-rows")  # at most fit_rows documents
+    room = F.sum(F.octet_length("grams") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    named = stored.withColumn("room", room).filter(F.col("room") <= fit_features).select("doc_id")
+    return sorted(tuple(r) for r in stored.join(F.broadcast(named), "doc_id").select("doc_id", "y", "grams").collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+    """(ratios, weights, bias) from labelled documents that aren't held out."""
+    found = sampled(docs, labels, fit_rows, fit_features)
     rows, y = [np.frombuffer(g, np.int32) for _, _, g in found], np.array([y for _, y, _ in found], np.int64)
     weights, bias = fit(rows, y)
     return log_ratios(rows, y), weights, bias
@@ -131,7 +130,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Scores from 0 to 1; predicted is 1 from 0.5 on.
 
     Null and empty texts have no features and get the constant's score; without labels of both classes every row gets
-    the prior's. Repeated rows score alike, null ids aren't held out, an empty table gives no rows, other columns are ignored.
+    the prior's. Repeated rows score alike and count once in the fit, null ids aren't held out, an empty table gives no rows, other columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return score(plain, train(plain, labels, fit_rows))

@@ -202,7 +202,8 @@ def place(sizes: np.ndarray, capacity: int = LENGTH) -> np.ndarray:
 
 
 def assign(rows: DataFrame, documents: int, capacity: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Groups are a hash of id, piece and content, so they have about ``group`` documents each."""
+    """Adds sequence_id and offset to pieces. Groups are a hash of id, piece, content and place in the scan, so they have about
+    ``group`` documents each, however many rows are equal."""
     groups = max(1, round(documents / group))
 
     def run(table: pa.Table) -> pa.Table:
@@ -219,7 +220,7 @@ def assign(rows: DataFrame, documents: int, capacity: int = LENGTH, group: int =
         return table.drop_columns("part").append_column("sequence_id", pa.array((key << 32) + bins)).append_column("offset", pa.array(offset))
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy("part").applyInArrow(run, schema)
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))).groupBy("part").applyInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, **columns) -> DataFrame:
@@ -232,9 +233,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """(sequence_id, tokens array<int>) of packed documents with unique ids."""
+    """(sequence_id, tokens array<int>) of packed documents with unique ids; a null id counts as an id."""
     ids = bpe.encode(docs, tokenizer).select("doc_id", F.concat("ids", F.array(F.lit(end))).alias("ids"))
-    parts = packed.join(ids, "doc_id").select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
+    parts = packed.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda s: s["ids"])).alias("tokens"))
 
 

@@ -1,9 +1,10 @@
 """Sharding by histogram sort, in DataFrame functions only.
 
-Documents are ordered by (hash of the text, id), so equal texts are neighbours and a group of copies of
-any size can be cut between its ids. Splitters come from exact byte counts below candidate boundaries:
+Documents are ordered by (hash of the text, id, place in the scan), so equal texts are neighbours and a group of copies of
+any size, even of rows that repeat the id too, can be cut. Splitters come from exact byte counts below candidate boundaries:
 each round counts the bytes in every slice of the still open key ranges over all partitions, and probes
-only the slices that hold a wanted cut more finely, until each cut lies within the tolerance. One
+only the slices that hold a wanted cut more finely, until each cut lies within the tolerance. Cuts that fall inside one
+key are looked for in the next part of the key, for all such keys at once. One
 exchange then brings every cell to one task, and positions follow from the cells' exact row counts.
 
 Only counts come to the driver: ``2**FIRST_BITS`` at first, then ``2**STEP_BITS`` for each open cut.
@@ -21,10 +22,10 @@ from .util import fresh, materialize, read
 
 FIRST_BITS, STEP_BITS = 12, 8
 ROW_BYTES = 16
-#: Up to so many copies of a text are listed rather than counted when a cut falls between them.
-LISTED = 256
 #: The sign bit; with it flipped, signed order is the order of the 64 bits.
 LOW = -(2**63)
+#: The order's key, one after another.
+KEY = ("hash", "id", "row")
 
 
 def size_of(text: Column) -> Column:
@@ -37,99 +38,110 @@ def _unsigned(c: Column) -> Column:
     return c.bitwiseXOR(F.lit(LOW))
 
 
-def _slices(rows: DataFrame, key: str, starts: list[int], width: int, bits: int) -> list[tuple[int, int, int]]:
-    """Exact (start, bytes, rows) of the slices that hold rows when each range [start, start + 2**width) is cut into 2**bits."""
-    if width < 64:
-        prefix = [x - 2**64 if x >= 2**63 else x for x in (start >> width for start in starts)]
-        rows = rows.filter(F.shiftrightunsigned(_unsigned(F.col(key)), width).isin(prefix))
-    cell = F.shiftrightunsigned(_unsigned(F.col(key)), width - bits) if width > bits else _unsigned(F.col(key))
-    found = rows.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # at most len(starts) * 2**bits rows
-    return sorted(((r["cell"] % 2**64) << (width - bits), r["size"], r["n"]) for r in found)
+def _table(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """A few rows of numbers, as one literal."""
+    data = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{', '.join(f'{n}:bigint' for n in names)}>>")))
 
 
-def _cuts(rows: DataFrame, key: str, targets: list[int], slack: int, start: int = 0, width: int = 64) -> list[tuple[int, int, int]]:
-    """For each target (bytes that should precede the cut): (unsigned key, bytes before it, rows of the key if the cut lies inside them, else 0).
+def _slices(rows: DataFrame, lead: tuple[str, ...], key: str, ranges: set[tuple[tuple[int, ...], int]], width: int, bits: int) -> dict[tuple[int, ...], list[tuple[int, int, int]]]:
+    """For each group (the leading keys' values) exact (start, bytes, rows) of the slices that hold rows, when each range [start, start + 2**width) is cut into 2**bits."""
+    unsigned = _unsigned(F.col(key))
+    if width < 64 or lead:
+        names = [*(f"_{c}" for c in lead), "_prefix"]
+        prefix = F.shiftrightunsigned(unsigned, width) if width < 64 else F.lit(0)
+        wanted = _table(rows.sparkSession, sorted({(*map(_signed, g), _bits(lo >> width)) for g, lo in ranges}), names)  # at most one for each cut
+        same = [F.col(c) == F.col(f"_{c}") for c in lead] + [prefix == F.col("_prefix")]
+        rows = rows.join(F.broadcast(wanted), same)
+    cell = F.shiftrightunsigned(unsigned, width - bits) if width > bits else unsigned
+    found: dict[tuple[int, ...], list] = {}
+    for r in rows.groupBy(*lead, cell.alias("cell")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect():  # at most len(ranges) * 2**bits rows
+        found.setdefault(tuple(r[c] - LOW for c in lead), []).append(((r["cell"] % 2**64) << (width - bits), r["size"], r["n"]))
+    return {g: sorted(x) for g, x in found.items()}
+
+
+def _cuts(rows: DataFrame, lead: tuple[str, ...], key: str, todo: dict[int, tuple[tuple[int, ...], int]], slack: int, done: dict[int, tuple[int, ...]]) -> dict[int, tuple[tuple[int, ...], int]]:
+    """Finds each target (bytes that should precede a cut) among the rows of its group: ``todo`` has the group and the exact bytes before it.
 
     Each round counts exactly and probes finer, until a boundary is within ``slack`` bytes of the target, or the slice
-    holds one row (then the nearer side is taken) or one key (many rows of one key are to be cut inside)."""
-    done: dict[int, tuple[int, int, int]] = {}
-    todo = {t: (start, 0) for t in targets}  # the start of the range that holds the cut, and the exact bytes below it
-    bits = min(FIRST_BITS, width)
-    while todo:
-        counted = _slices(rows, key, sorted({lo for lo, _ in todo.values()}), width, bits)
+    holds one row (then the nearer side is taken); these go to ``done``, as unsigned keys. Targets inside the rows of one key are returned."""
+    start, width = {(): 0}, 64
+    if lead:  # the ids of few copies are close together: only their common range is probed
+        names = [f"_{c}" for c in lead]
+        groups = _table(rows.sparkSession, sorted({tuple(map(_signed, g)) for g, _ in todo.values()}), names)
+        mine = rows.join(F.broadcast(groups), [F.col(c) == F.col(f"_{c}") for c in lead]).groupBy(*lead).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+        ends = {tuple(r[c] - LOW for c in lead): (r["lo"] - LOW, r["hi"] - LOW) for r in mine}
+        width = max(1, *((a ^ b).bit_length() for a, b in ends.values()))
+        start = {g: a >> width << width for g, (a, _) in ends.items()}
+    ranges, inside = {t: (g, start[g], below) for t, (g, below) in todo.items()}, {}
+    bits = min(STEP_BITS if lead else FIRST_BITS, width)
+    while ranges:
+        counted = _slices(rows, lead, key, {(g, lo) for g, lo, _ in ranges.values()}, width, bits)
         finer, nxt = width - bits, {}
-        for t, (lo, below) in todo.items():
-            for k in range(bisect_left(counted, (lo,)), len(counted)):
-                at, size, n = counted[k]
+        for t, (g, lo, below) in ranges.items():
+            slices = counted.get(g, [])
+            for k in range(bisect_left(slices, (lo,)), len(slices)):
+                at, size, n = slices[k]
                 if below + size < t and at < lo + 2**width:
                     below += size
                     continue
                 if t - below <= slack:
-                    done[t] = (at, below, 0)
+                    done[t] = (*g, at)
                 elif below + size - t <= slack or n == 1:
-                    done[t] = (at + 2**finer, below + size, 0) if below + size - t < t - below else (at, below, 0)
+                    done[t] = (*g, at + 2**finer) if below + size - t < t - below else (*g, at)
                 elif finer == 0:
-                    done[t] = (at, below, n)
+                    inside[t] = ((*g, at), below)
                 else:
-                    nxt[t] = (at, below)
+                    nxt[t] = (g, at, below)
                 break
             else:
-                done[t] = (min(lo + 2**width, 2**64 - 1), below, 0)
-        todo, width = nxt, finer
+                done[t] = (*g, min(lo + 2**width, 2**64 - 1))
+        ranges, width = nxt, finer
         bits = min(STEP_BITS, width)
-    return [done[t] for t in targets]
+    return inside
 
 
-def splitters(rows: DataFrame, parts: int, slack: int) -> list[tuple[int, int]]:
-    """``parts - 1`` ascending (hash, id) as signed numbers: a part begins with the first row at or after its splitter."""
+def splitters(rows: DataFrame, parts: int, slack: int) -> list[tuple[int, ...]]:
+    """``parts - 1`` ascending (hash, id, row) as signed numbers: a part begins with the first row at or after its splitter."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    targets = sorted({total * k // parts for k in range(1, parts)}) if total else []
-    out, inside = [], {}
-    for t, (key, below, n) in zip(targets, _cuts(rows, "hash", targets, slack) if targets else [], strict=True):
-        if n:  # one text's copies outweigh the slack: cut between their ids
-            inside.setdefault((key, below, n), []).append(t)
-        else:
-            out.append((key, 0))
-    few = [key for key, _, n in inside if n <= LISTED]
-    listed: dict[int, list] = {}
-    if few:  # at most parts * LISTED rows
-        for h, i, size in rows.filter(F.col("hash").isin([_signed(k) for k in few])).select("hash", "id", "size").collect():
-            listed.setdefault(h, []).append((i, size))
-    for (key, below, n), ts in inside.items():
-        if n <= LISTED:
-            ids = sorted(listed[_signed(key)])
-            out += [(key, ids[min(n - 1, round((t - below) / ids[0][1]))][0] + 2**63) for t in ts]
-            continue
-        copies = rows.filter(F.col("hash") == _signed(key))
-        least, most = (x + 2**63 for x in copies.agg(F.min("id"), F.max("id")).first())
-        width = max(1, (least ^ most).bit_length())
-        out += [(key, i) for i, *_ in _cuts(copies, "id", [t - below for t in ts], slack, least >> width << width, width)]
-    out += [(2**64 - 1, 2**64 - 1)] * (parts - 1 - len(out))  # fewer rows than parts
-    return [(_signed(h), _signed(i)) for h, i in sorted(out)]
+    todo = {t: ((), 0) for t in {total * k // parts for k in range(1, parts)}} if total else {}
+    done: dict[int, tuple[int, ...]] = {}
+    for depth, key in enumerate(KEY):
+        todo = _cuts(rows, KEY[:depth], key, todo, slack, done) if todo else {}
+    out = [(*cut, *[0] * (len(KEY) - len(cut))) for cut in done.values()]
+    out += [(2**64 - 1,) * len(KEY)] * (parts - 1 - len(out))  # fewer rows than parts
+    return [tuple(map(_signed, cut)) for cut in sorted(out)]
 
 
 def _signed(x: int) -> int:
     return min(x, 2**64 - 1) - 2**63
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.005, cells: int = 8) -> DataFrame:
+def _bits(x: int) -> int:
+    """64 bits as Spark's signed number."""
+    return x - 2**64 if x >= 2**63 else x
+
+
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.005, cells: int = 8, stored: bool = False) -> DataFrame:
     """All columns of ``docs`` plus size, text_crc32, shard (0 to ``shards`` - 1, by bytes) and slot (gapless from 0).
 
-    Every shard holds the mean bytes, give or take ``tolerance`` of it and half a document at each end. Equal texts are neighbours in the order. Null texts count as empty, null ids come
-    first, rows that repeat in id and text take slots in any order. An empty table gives no rows. Columns of ``docs``
-    that are named like an added one are replaced.
+    Every shard holds the mean bytes, give or take ``tolerance`` of it and half a document at each end. Equal texts are
+    neighbours in the order. Null texts count as empty, null ids come first, rows that repeat in id and text come in
+    the order of the scan and are cut like others. An empty table gives no rows. Columns of ``docs`` that are named like an added one are replaced.
+    ``docs`` is written to the shared folder first unless it is ``stored``, a plain read of a table.
     """
+    docs = docs if stored else materialize(docs, "shard-docs")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.struct(F.xxhash64(text).alias("hash"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOW)).alias("id"))
-    rows = materialize(docs.select(key["hash"].alias("hash"), key["id"].alias("id"), size_of(F.col(text_col)).alias("size")), "shard-keys")
+    key = F.struct(F.xxhash64(text).alias("hash"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOW)).alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(docs.select(key.alias("key"), size_of(F.col(text_col)).alias("size")).select("key.*", "size"), "shard-keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
     cut = splitters(rows, shards * cells, int(total / shards * tolerance))
-    bounds = F.from_json(F.lit(json.dumps([{"hash": h, "id": i} for h, i in cut])), "array<struct<hash:bigint,id:bigint>>")  # folded to one literal
+    bounds = F.from_json(F.lit(json.dumps([dict(zip(KEY, x, strict=True)) for x in cut])), f"array<struct<{', '.join(f'{c}:bigint' for c in KEY)}>>")  # folded to one literal
 
     def cell_of(k: Column) -> Column:
         return F.size(F.filter(bounds, lambda b: b <= k)) if cut else F.lit(0)
 
-    counts = dict(rows.groupBy(cell_of(F.struct("hash", "id")).alias("cell")).count().collect())  # shards * cells rows
+    counts = dict(rows.groupBy(cell_of(F.struct(*KEY)).alias("cell")).count().collect())  # shards * cells rows
     before, at = [], 0
     for c in range(shards * cells):
         at = 0 if c % cells == 0 else at
@@ -144,5 +156,5 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    out = shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 40, stored=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -320,26 +320,242 @@ def test_urls(spark):
 def test_trust_flows(spark):
     edges = spark.createDataFrame([("good", "a", 1), ("a", "b", 1), ("c", "bad", 3)], "src string, dst string, links bigint")
     one = lambda h: spark.createDataFrame([(h, 10**9)], "host string, mass bigint")
-    trust = dict(tuple(r) for r in url_filter.spread(one("good"), edges, 6, 85).collect())
+    trust = dict(tuple(r) for r in url_filter.spread(one("good"), edges, 85).collect())
     back = edges.selectExpr("dst as src", "src as dst", "links")
-    distrust = dict(tuple(r) for r in url_filter.spread(one("bad"), back, 6, 85).collect())
+    distrust = dict(tuple(r) for r in url_filter.spread(one("bad"), back, 85).collect())
     assert trust["good"] > trust["a"] > trust["b"] > 0 and "c" not in trust and distrust["c"] > 0 and "a" not in distrust
 
 
+def page_rank(seeds, edges, follow=0.85):
+    """Personalised PageRank by plain power iteration, dangling mass lost."""
+    hosts = sorted({h for e in edges for h in e} | set(seeds))
+    at = {h: k for k, h in enumerate(hosts)}
+    move = np.zeros((len(hosts), len(hosts)))
+    for a, b in edges:
+        move[at[a], at[b]] += 1
+    move /= np.maximum(move.sum(axis=1, keepdims=True), 1)
+    base = np.zeros(len(hosts))
+    for h, share in seeds.items():
+        base[at[h]] = share / sum(seeds.values())
+    now = base.copy()
+    for _ in range(400):
+        now = (1 - follow) * base + follow * now @ move
+    return dict(zip(hosts, now, strict=True))
+
+
+def test_linked_hosts_equal_plain_page_rank(spark):
+    """A random host graph with a chain of 30 hosts, self links and seeds on both sides, against power iteration."""
+    rng = random.Random(11)
+    hosts = [f"h{k}.org" for k in range(40)] + [f"c{k}.net" for k in range(30)]
+    links = [(rng.choice(hosts[:40]), rng.choice(hosts[:40])) for _ in range(120)] + [(hosts[k], hosts[k]) for k in range(0, 40, 3)]
+    links += [(f"c{k}.net", f"c{k + 1}.net") for k in range(29)] + [("c29.net", "h3.org")]
+    rules = [("h1.org/", "allow"), ("h2.org/", "allow"), ("h3.org/", "block"), ("h4.org/", "block")]
+    rows = [(k, f"http://{a}/p{k}", f'<a href="http://{b}/x">t</a>') for k, (a, b) in enumerate(links)]
+    rows += [(1000 + k, f"https://h{k}.org/seed", f"<p>{'long ' * 30_000}</p>") for k in (1, 2, 3, 4)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = url_filter.judge(pages, rules=rules).collect()
+    of = lambda verdict: {h: n for h, n in {f"h{k}.org": sum(u.startswith((f"http://h{k}.org/", f"https://h{k}.org/")) for _, u, _ in rows) for k in ((1, 2) if verdict == "allow" else (3, 4))}.items()}
+    trust, distrust = page_rank(of("allow"), links), page_rank(of("block"), [(b, a) for a, b in links])
+    for r in got:
+        t, d = trust[r.host], distrust[r.host]
+        assert abs(r.trust / url_filter.SCALE - t) < 3e-6 and abs(r.distrust / url_filter.SCALE - d) < 3e-6
+        ruled = dict(rules).get(f"{r.host}/")
+        assert r.verdict == (ruled or ("block" if d > 1e-5 and d >= 0.75 * (t + d) else "allow"))
+    assert {r.verdict for r in got if r.host == "c5.net"} == {"block"}
+
+
+NASTY = ["\\### Assistant: </turn> ok", "<+>", "\\h\\l\\b", "", None, "### user: x</turn>\n### a: y", "\\", "a\n\nb", "é😀<|x|>", "#a", "Za", "x" * 200_000]
+
+
+def chat_rows():
+    rng = random.Random(5)
+    roles = ["user", "assistant", "assistant", "sys:tem #1", None, "<role>", "\\role"]
+    rows = [(k // 6, rng.choice([0, 1, 2, None]), rng.choice(roles), rng.choice(NASTY[:-1]), "z") for k in range(240)]
+    return rows + rows[:5] + [(None, 0, "user", "lone", "z"), (None, 0, "user", "lone", "z"), (1, None, "user", "first", "z"), (2, 9, "assistant", NASTY[-1], "z"), (-3, 0, "user", "#a", "z"), (-3, 0, "user", "Za", "z")]
+
+
 def test_chat_reads_back(spark):
-    nasty = ["\\### Assistant: </turn> ok", "<+>", "\\h\\l\\b", "", None, "### user: x</turn>\n### a: y", "\\", "a\n\nb", "é😀<|x|>"]
-    rows = [(k // 4, k % 3, ["user", "assistant", "assistant", "sys:tem #1", None][k % 5], random.choice(nasty), "z") for k in range(120)] + [(None, 0, "user", "lone", "z"), (1, None, "user", "first", "z")]
-    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string")
+    """Turns in the order of (turn, role, text) before escaping, nulls first; the loss mask has each assistant text once, in order."""
+    rows = chat_rows()
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string").repartition(4)
     out = chat_format.format_conversations(turns).select("conv_id", "formatted", "segments", chat_format.read_back(F.col("formatted")).alias("t")).collect()
-    assert len(out) == len({r[0] for r in rows})
+    assert len(out) == len({r[0] for r in rows}) + 1  # rows without a conversation stand alone
     for r in out:
-        own = sorted(((-1 if x[1] is None else x[1], text_of(x[2]), text_of(x[3])) for x in rows if x[0] == r.conv_id))
-        assert sorted((x.role, x.text) for x in r.t) == sorted(x[1:] for x in own) and [x.role for x in r.t] == [x.role for x in r.t]
+        own = [x for x in rows if x[0] == r.conv_id] if r.conv_id is not None else [rows[-6]]
+        want = [(text_of(x[2]), text_of(x[3])) for x in sorted(own, key=lambda x: (x[1] is not None, x[1] or 0, text_of(x[2]).encode(), text_of(x[3]).encode()))]
+        assert [(x.role, x.text) for x in r.t] == want
         assert "".join(s.text for s in r.segments) == r.formatted
-        assert r.formatted.count("### ") == sum(1 for k, x in enumerate(r.t) if k == 0 or x.role != r.t[k - 1].role)
+        undo = lambda t: t.replace("\\l", "<").replace("\\h", "#").replace("\\b", "\\")
+        assert "".join(undo(s.text) for s in r.segments if s.loss) == "".join(t for role, t in want if role == "assistant")
+        assert r.formatted.count("### ") == sum(1 for k, x in enumerate(want) if k == 0 or x[0] != want[k - 1][0])
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_equals_its_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    rows = chat_rows()
+    spark.createDataFrame([r[:4] for r in rows], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    same(chat_format.op8_chat_format(spark, str(tmp_path)), con, chat_format.OP8_SQL)
+
+
+def test_exact_equals_its_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame(EDGE * 2 + [(None, None)] * 3, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(exact_dedup.op10_exact_dedup(spark, str(tmp_path)), con, exact_dedup.OP10_SQL)
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """100,000 rows with null id and one text, 20,000 that repeat id and text, 5,000 others."""
+    path = f"{tmp_path_factory.mktemp('repeated')}/docs"
+    null = spark.range(100_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same words").alias("text"))
+    twice = spark.range(20_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("another text").alias("text"))
+    others = spark.range(5_000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    null.union(twice).union(others).repartition(4).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_exact_with_repeated_rows(spark, repeated):
+    got = {tuple(r) for r in exact_dedup.exact_groups(repeated).groupBy("keep_id", "group_size", "kept").count().filter("group_size > 1").collect()}
+    assert got == {(None, 100_000, True, 1), (None, 100_000, False, 99_999), (7, 20_000, True, 1), (7, 20_000, False, 19_999)}
+    assert exact_dedup.drop_copies(repeated, stored=True).count() == 5_002
+
+
+def test_sharding_with_repeated_rows(spark, repeated):
+    out = sharding.shard(repeated, 10, stored=True)
+    sizes = [r["sum(size)"] for r in out.groupBy("shard").sum("size").collect()]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 10 + 2 * 40
+    assert out.groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("m"), F.count("*").alias("c")).filter("n != c or m != c - 1").count() == 0
+
+
+def test_packing_with_repeated_rows(spark, repeated):
+    rows = packing.pieces(repeated, bpe.default_tokenizer())
+    out = packing.assign(rows, 125_000, group=10_000)
+    used = out.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert out.count() == 125_000 and used.filter("fill > 1024 or fill != end").count() == 0
+    sizes = [r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 12_000  # equal rows are spread over the groups
+
+
+def least_bins(sizes, capacity):
+    """The least number of bins, by trying all ways to fill them."""
+    sizes = sorted(sizes, reverse=True)
+
+    def fits(k, rooms):
+        if k == len(sizes):
+            return True
+        return any(fits(k + 1, tuple(sorted([*rooms[:i], room - sizes[k], *rooms[i + 1 :]]))) for i, room in enumerate(rooms) if room >= sizes[k] and room not in rooms[:i])
+
+    n = -(-sum(sizes) // capacity)
+    while not fits(0, (capacity,) * n):
+        n += 1
+    return n
+
+
+def test_packing_against_the_optimum():
+    """On small sets the search needs the least number of bins nearly always, and never more than best fit; where best fit is poor it gains."""
+    rng = random.Random(2)
+    first = after = best = 0
+    for _ in range(150):
+        sizes = np.array([rng.choice([rng.randint(1, 1023), rng.randint(250, 400)]) for _ in range(9)])
+        bins = packing.best_fit(sizes, 1024)
+        first += len(set(bins.tolist()))
+        after += len(set(packing.place(sizes, 1024).tolist()))
+        best += least_bins(sizes.tolist(), 1024)
+    assert best <= after <= first and after - best <= 0.01 * best
+    sizes = np.random.default_rng(1).integers(257, 511, 3000)
+    poor = packing.best_fit(sizes, 1024)
+    assert len(set(packing.local_search(sizes, poor, 1024).tolist())) < 0.98 * len(set(poor.tolist()))
+
+
+def test_fit_is_the_optimum():
+    """The gap between the primal objective and a bound from the dual, both computed here from dense rows, is small."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.choice(60, 12) + (20 if k % 2 else 0)).astype(np.int32) for k in range(200)]
+    labels = np.arange(200) % 2
+    weights, bias = nbsvm.fit(rows, labels, passes=400, cost=1.0)
+    seen = np.array([[k in set(r.tolist()) for k in range(80)] for r in rows], float)
+    count = [seen[labels == y].sum(axis=0) + 1 for y in (0, 1)]
+    total = [c.sum() + nbsvm.SIZE - 80 for c in count]
+    x = seen * (np.log(count[1] / total[1]) - np.log(count[0] / total[0]))
+    x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((200, 1))])
+    w, y = np.append(weights[:80], bias), np.where(labels == 1, 1.0, -1.0)
+    primal = w @ w / 2 + np.maximum(0, 1 - y * (x @ w)).sum()
+    least = primal
+    v = w.copy()
+    for k in range(1, 20_000):  # an independent solver: subgradient steps from the same place
+        v -= (v - ((y * (x @ v) < 1) * y) @ x) / (k + 200)
+        least = min(least, v @ v / 2 + np.maximum(0, 1 - y * (x @ v)).sum())
+    assert primal <= least * 1.002
+
+
+def test_fit_counts_a_repeated_row_once(spark, labels):
+    rows = [(i, f"words of document {i} and more") for i in range(1, 40)]
+    once = spark.createDataFrame(rows, "doc_id bigint, text string")
+    often = spark.createDataFrame(rows + rows[:9] * 50, "doc_id bigint, text string").repartition(3)
+    a, b = nbsvm.train(once, labels), nbsvm.train(often, labels)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    assert len(nbsvm.sampled(once, labels, 5, 10**9)) == 5 and len(nbsvm.sampled(once, labels, 100, 60)) == 2
+
+
+def test_rules_equal_brute_force(spark, documents):
+    """Log-likelihood ratio and verdict from n-grams counted here in a dictionary."""
+    from collections import Counter
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    rows = {r.doc_id: text_of(r.text).encode() for r in documents.collect()}
+    of = lambda raw: [(int.from_bytes(raw[k : k + 4], "little") * 2654435761 % 2**32) >> 16 for k in range(len(raw) - 3)]
+    grams = {i: of(raw) for i, raw in rows.items()}
+    corpus, target = Counter(g for x in grams.values() for g in x), Counter(g for i, x in grams.items() if i in good for g in x)
+    n, m = (sum(c.values()) + 2**16 for c in (target, corpus))
+    ratio = {g: np.log((target[g] + 1) / n) - np.log((corpus[g] + 1) / m) for g in corpus}
+    for r in quality_rules.judge(documents, labels).collect():
+        want = sum(ratio[g] for g in grams[r.doc_id]) / max(1, len(grams[r.doc_id]))
+        assert abs(r.llr - want) < 1e-6
+        assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD) and r.base_failed == brute_rules(rows[r.doc_id].decode())[-1]
+
+
+def test_bpe_query_equals_the_library(spark, documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    library.no_truncation()
+    library.no_padding()
+    rows = documents.collect()
+    ids = [e.ids for e in library.encode_batch([text_of(r.text) for r in rows], add_special_tokens=False)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {r.doc_id: (len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for r, x in zip(rows, ids, strict=True)}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op1_bpe(spark, SMALL).collect()} == want
+    none = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")
+    assert [r.decoded for r in bpe.decode(none, bpe.default_tokenizer()).collect()] == ["", ""]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_tables(spark, edge, labels, tmp_path, empty):
+    """Every stage takes null ids and texts, repeated rows and extra columns, and an empty table; clean rows come out whole."""
+    import corpus_pipeline as p
+
+    clean = [(100 + k, " ".join(f"w{k}x{j * j % 83}" for j in range(120))) for k in range(20)]
+    docs = edge.select("doc_id", "text", F.col("lang"), F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"), "kept", "_lost")
+    docs = docs.union(spark.createDataFrame([(i, t, "z", "s", len(t), "z", "z") for i, t in clean], docs.schema)).limit(0 if empty else 10**6)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in p.STAGES[:-1]:
+        docs = p.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+    assert {i for i, _ in clean} <= {r.doc_id for r in docs.collect()} if not empty else docs.count() == 0
+    assert (p.run(spark, str(tmp_path)).count() == 0) == empty
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, oracle, name):
     df = queries.queries()[name](spark, SMALL)
