@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Signals in order, those that trigger a prediction, and the gate's prior and limits.
+#: Signals in order, statuses, signals that trigger a prediction, and the gate's prior and limits.
 SIGNALS = (
     "interval_expected",
     "overdue",
@@ -19,10 +18,16 @@ SIGNALS = (
     "status_out_of_range",
     "status_fault_reported",
 )
+STATUSES = ("OK", "NO_DATA", "OUT_OF_RANGE", "FAULT", "CALIB_ERROR")
 TRIGGERS = ("interval_expected", "overdue", "precursor_strong", "rising_near_threshold", "dropping_near_threshold", "status_flicker", "status_out_of_range")
 PRIOR_HITS, PRIOR_MISSES, WARM_UP, LEAST = 2.0, 3.0, 2, 0.30
 
 
+def parse_status(raw: Column) -> Column:
+    """A status by its exact name; anything else, null too, is OK."""
+    return F.when(raw.isin(*STATUSES), raw).otherwise("OK")
+
+
 def features(r: DataFrame, cp: DataFrame) -> DataFrame:
     """Per checkpoint (sensor, cp): what the score needs, from the faults and statuses up to its last reading.
 
@@ -46,7 +51,7 @@ def features(r: DataFrame, cp: DataFrame) -> DataFrame:
         F.sum(fault.cast("int")).over(hour).alias("recent"),
         ring_rows.alias("ring"),
     )
-    counted = lambda s: F.size(F.filter("ring", lambda x: (F.col("minute") - x["minute"] <= 15) & (x["status"] == s)))
+    counted = lambda *s: F.size(F.filter("ring", lambda x: (F.col("minute") - x["minute"] <= 15) & x["status"].isin(*s)))
     ends = told.filter(F.col("seq") % 20 == 0).select(
         "sensor",
         F.floor((F.col("seq") - 1) / 20).alias("cp"),
@@ -56,7 +61,7 @@ def features(r: DataFrame, cp: DataFrame) -> DataFrame:
         "recent",
         counted("NO_DATA").alias("no_data"),
         counted("OUT_OF_RANGE").alias("out_of_range"),
-        counted("FAULT").alias("reported"),
+        counted("FAULT", "CALIB_ERROR").alias("reported"),
     )
     out = cp.join(ends, ["sensor", "cp"])
     interval = F.when(F.col("faults") >= 2, (F.col("last_fault") - F.col("first_fault")) / (F.col("faults") - 1))
@@ -83,28 +88,29 @@ def signals(precursor_pct: Column) -> dict[str, Column]:
     }
 
 
-def score(f: DataFrame, precursor_pct: Column | None = None) -> DataFrame:
-    """(sensor, cp, probability, predicted, fired, has_anomaly): the score without the learned gate."""
-    pct = F.lit(0) if precursor_pct is None else precursor_pct
-    s = signals(pct)
-    plus = lambda cond, x: F.when(cond, x).otherwise(0.0)
+def score(f: DataFrame, precursor_pct: Column, statuses: bool = True) -> DataFrame:
+    """(sensor, cp, probability, predicted, fired, has_anomaly): the score without the learned gate. Without ``statuses`` the older
+    engine's, which knows no status signals."""
+    pct = precursor_pct
+    s = {k: c for k, c in signals(pct).items() if statuses or not k.startswith("status_")}
+    plus = lambda k, x: F.when(s[k], x).otherwise(0.0) if k in s else F.lit(0.0)
     soft = F.when((F.col("max_t10") > 280) | (F.col("min_t10") < 50), 0.05).when((F.col("max_t10") > 260) | (F.col("min_t10") < 80), 0.03).otherwise(0.0)
     total = (
         F.col("base_rate") * 0.5
         + F.when(s["interval_expected"], 0.22).when(s["overdue"], 0.14).otherwise(0.0)
         + F.when(s["cluster_dense"], 0.15).when(s["cluster_moderate"], 0.08).when(F.col("recent") == 1, 0.03).otherwise(0.0)
         + F.when(s["precursor_strong"], 0.12).when(pct >= 33, 0.05).otherwise(0.0)
-        + plus(s["rising_near_threshold"], 0.10)
-        + plus(s["dropping_near_threshold"], 0.10)
+        + plus("rising_near_threshold", 0.10)
+        + plus("dropping_near_threshold", 0.10)
         + soft
-        + plus(s["status_flicker"], 0.15)
-        + plus(s["status_out_of_range"], 0.12)
-        + plus(s["status_fault_reported"], 0.10)
+        + plus("status_flicker", 0.15)
+        + plus("status_out_of_range", 0.12)
+        + plus("status_fault_reported", 0.10)
     )
-    fired = F.array_compact(F.array(*[F.when(s[k], F.lit(k)) for k in SIGNALS]))
+    fired = F.array_compact(F.array(*[F.when(s[k], F.lit(k)) for k in SIGNALS if k in s]))
     trigger = F.lit(False)
     for k in TRIGGERS:
-        trigger = trigger | s[k]
+        trigger = trigger | s[k] if k in s else trigger
     return f.select("sensor", "cp", F.round(F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)), 6).alias("probability"), trigger.alias("predicted"), fired.alias("fired"), "has_anomaly")
 
 
@@ -126,15 +132,42 @@ def fold(rows, record: dict[str, list[int]]):
 
 
 def gated(scored: DataFrame) -> DataFrame:
-    """(sensor, cp, predicted): the gate is a fold in order, one task per key; keys are many, their checkpoints few."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cp")
-        record = {k: [0, 0] for k in SIGNALS}
-        pdf["predicted"] = list(fold(zip(pdf["fired"], pdf["has_anomaly"], strict=True), record))
-        return pdf[["sensor", "cp", "predicted"]]
-
-    return scored.select("sensor", "cp", "fired", "has_anomaly").groupBy("sensor").applyInPandas(run, "sensor bigint, cp bigint, predicted boolean")
+    """(sensor, cp, predicted): a signal triggers only while its record allows it.
+
+    A signal's record at a checkpoint counts what it fired before and the truth one checkpoint later, whether or not
+    it was let through. So records are running sums, and no fold is needed: windows in the JVM."""
+    order = Window.partitionBy("sensor").orderBy("cp")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    truth = F.col("has_anomaly") == 1
+    told = scored.select("sensor", "cp", "fired", "has_anomaly", F.lag("fired").over(order).alias("before"))
+    count = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(so_far), F.lit(0))
+    had = {k: F.array_contains("before", k) for k in TRIGGERS}
+    told = told.select("sensor", "cp", "fired", *[count(had[k] & truth).alias(f"h_{k}") for k in TRIGGERS], *[count(had[k] & ~truth).alias(f"m_{k}") for k in TRIGGERS])
+    let = F.lit(False)
+    for k in TRIGGERS:
+        h, m = F.col(f"h_{k}"), F.col(f"m_{k}")
+        may = (h + m < WARM_UP) | ((h + PRIOR_HITS) / (h + m + PRIOR_HITS + PRIOR_MISSES) >= LEAST)
+        let = let | (F.array_contains("fired", k) & may)
+    return told.select("sensor", "cp", let.alias("predicted"))
+
+
+def explain(scored: DataFrame) -> DataFrame:
+    """(sensor, signal, hits, misses, confidence): the record of every signal of each key, those that never fired too."""
+    p = predictions(scored)
+    keys = scored.select("sensor").distinct().withColumn("signal", F.explode(F.array(*map(F.lit, SIGNALS))))
+    seen = p.select("sensor", "truth", F.explode("fired").alias("signal")).groupBy("sensor", "signal").agg(F.sum(F.col("truth").cast("bigint")).alias("hits"), F.count(F.lit(1)).alias("fires"))
+    out = keys.join(seen, ["sensor", "signal"], "left").fillna(0, ["hits", "fires"]).withColumn("misses", F.col("fires") - F.col("hits"))
+    return out.select("sensor", "signal", "hits", "misses", F.round((F.col("hits") + PRIOR_HITS) / (F.col("fires") + PRIOR_HITS + PRIOR_MISSES), 3).alias("confidence"))
+
+
+def state(r: DataFrame, resets: DataFrame | None = None) -> DataFrame:
+    """(sensor, faults, first_fault, last_fault): what INIT creates, EVENT appends to and RESET (sensor, seq) empties. It is what a snapshot
+    keeps; statuses seen are not part of it."""
+    fault = (F.col("status") == "FAULT") & (F.lit(True) if resets is None else F.col("seq") > F.coalesce("_reset", F.lit(0)))
+    if resets is not None:
+        r = r.join(resets.groupBy("sensor").agg(F.max("seq").alias("_reset")), "sensor", "left")
+    when = F.when(fault, F.col("minute"))
+    return r.groupBy("sensor").agg(F.coalesce(F.sum(fault.cast("bigint")), F.lit(0)).alias("faults"), F.min(when).alias("first_fault"), F.max(when).alias("last_fault"))
 
 
 def predictions(scored: DataFrame) -> DataFrame:

@@ -50,6 +50,20 @@ def auc(points: DataFrame) -> DataFrame:
     return steps.agg(F.round(F.sum((F.col("fpr") - F.col("x0")) * (F.col("recall") + F.col("y0")) / 2), 6).alias("auc"))
 
 
+#: Words that name fault patterns in a report.
+PATTERNS = ("spike", "drift", "dropout", "oscillation", "precursor")
+
+
+def report_score(text: Column, anomalies: Column, highest: Column) -> Column:
+    """What a written report gets right, as struct<count_ok, max_ok, min_ok, patterns, consistency>: its total_faults within 3, its max_temp within
+    2 degrees, a min_temp below 5, and how many pattern words it has. A number that isn't there is wrong."""
+    number = lambda name: F.nullif(F.regexp_extract(text, f'"{name}"\\s*:\\s*"?(-?[0-9]+(?:\\.[0-9]+)?)', 1), F.lit("")).cast("double")
+    right = lambda c: F.coalesce(c, F.lit(False))
+    count, top, low = right(F.abs(number("total_faults") - anomalies) <= 3), right(F.round(F.abs(number("max_temp") - highest), 6) <= 2.0), right(number("min_temp") < 5.0)
+    patterns = sum((F.contains(F.lower(text), F.lit(w)).cast("int") for w in PATTERNS[1:]), F.contains(F.lower(text), F.lit(PATTERNS[0])).cast("int"))
+    return F.struct(count.alias("count_ok"), top.alias("max_ok"), low.alias("min_ok"), patterns.alias("patterns"), (count.cast("int") + top.cast("int") + low.cast("int")).alias("consistency"))
+
+
 def percentile_low(values: Column, p: float) -> Column:
     """sorted[min(floor(n p), n - 1)]"""
     v = F.array_sort(values)
@@ -72,17 +86,40 @@ def ranked_percentiles(rows: DataFrame, key: str, value: str, ps: tuple[float, .
     return at.filter((index < F.col("upto")) & (index >= F.col("upto") - F.col("c"))).select(key, "p", value)
 
 
-def poisson_weight(row: Column | str, draw: Column | str) -> Column:
-    """How often a draw with replacement takes a row: Poisson(1) from a hash of both."""
-    u = F.pmod(F.xxhash64(row, draw), F.lit(1_000_000)) / 1_000_000.0
-    weight, total, share = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
+def _poisson_steps(most: int = 8) -> list[tuple[int, float]]:
+    """(k, least u) at which a Poisson(1) draw becomes k."""
+    out, total, share = [], 0.0, 0.36787944117144233
+    for k in range(1, most + 1):
         total += share
-        weight = F.when(u >= total, k).otherwise(weight)
+        out.append((k, total))
         share /= k
+    return out
+
+
+def poisson_weight(row: Column | str, draw: Column | str) -> Column:
+    """How often a draw with replacement takes a row: Poisson(1) from a hash of both as text, so SQL can follow it."""
+    text = F.concat_ws(":", F.col(row).cast("string") if isinstance(row, str) else row.cast("string"), F.col(draw).cast("string") if isinstance(draw, str) else draw.cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("bigint") / 16777216.0
+    weight = F.lit(0)
+    for k, least in _poisson_steps():
+        weight = F.when(u >= least, k).otherwise(weight)
     return weight
 
 
+def poisson_sql(u: str) -> str:
+    """The same as a SQL expression of ``u``."""
+    return "CASE " + " ".join(f"WHEN {u} >= {least!r}::DOUBLE THEN {k}" for k, least in reversed(_poisson_steps())) + " ELSE 0 END"
+
+
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(row_id, a, b) from two results (qid, value) of the same questions. A question that only one of them has, or has twice, is an error when the row is read."""
+    one, two = (x.groupBy("qid").agg(F.max("value").alias(name), F.count(F.lit(1)).alias(f"n_{name}")) for x, name in ((a, "a"), (b, "b")))
+    both = one.join(two, "qid", "full_outer")
+    ok = (F.coalesce("n_a", F.lit(0)) == 1) & (F.coalesce("n_b", F.lit(0)) == 1)
+    known = F.when(ok, F.col("qid")).otherwise(F.raise_error(F.concat(F.lit("results differ in question "), F.col("qid"))))
+    return both.select(known.cast("string").alias("row_id"), "a", "b")
+
+
 def bootstrap_mean(values: DataFrame, key: str, value: str, rounds: int = 200, level: float = 0.95) -> DataFrame:
     """Mean and percentile interval of resampled means per key.
 
@@ -109,6 +146,18 @@ def bootstrap_ratio(pairs: DataFrame, rounds: int = 200, level: float = 0.95) ->
     return point.join(ends.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn("has_one", (F.col("low") <= 1) & (F.col("high") >= 1))
 
 
+def bootstrap_median_ratio(pairs: DataFrame, rounds: int = 200, level: float = 0.95) -> DataFrame:
+    """Ratio of medians of paired (row_id, a, b) with a percentile interval and whether it crosses 1; draws whose lower median isn't positive are dropped."""
+    drawn = pairs.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    drawn = drawn.withColumn("w", poisson_weight("row_id", "round").cast("bigint")).filter("w > 0")
+    both = drawn.groupBy("round").agg(F.percentile("a", F.lit(0.5), F.col("w")).alias("a"), F.percentile("b", F.lit(0.5), F.col("w")).alias("b"))
+    ratios = both.filter("b > 0").select((F.col("a") / F.col("b")).alias("r"))
+    side = (1 - level) / 2
+    ends = ratios.agg(F.percentile("r", F.lit(side)).alias("low"), F.percentile("r", F.lit(1 - side)).alias("high")).withColumn("_k", F.lit(1))
+    point = pairs.agg((F.percentile("a", F.lit(0.5)) / F.greatest(F.percentile("b", F.lit(0.5)), F.lit(1e-9))).alias("ratio"), F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
+    return point.join(ends, "_k").drop("_k").withColumn("has_one", (F.col("low") < 1) & (F.col("high") > 1))
+
+
 def bootstrap_quantile(values: DataFrame, key: str, value: str, p: float, rounds: int = 100, level: float = 0.95) -> DataFrame:
     """A quantile and its percentile interval: per draw the least value at which the drawn rows reach share ``p``.
 

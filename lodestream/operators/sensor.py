@@ -1,6 +1,6 @@
 """Sensor readings: running statistics, checkpoint windows, trends, anomalies, encoders.
 
-Readings have sensor, minute, seq (1-based order), t10 (tenths of a degree, so sums are exact) and status.
+Readings have sensor, minute, seq (1-based order), t10 (tenths of a degree, so sums are exact), status and h10 (humidity in tenths).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ def readings(events: DataFrame) -> DataFrame:
         F.expr("(cast(round(value * 100) as bigint) % 4000) div 10").alias("t10"),
         status.alias("status"),
         F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"),
+        F.expr("cast(round(value * 100) as bigint) % 1000").alias("h10"),
     )
 
 
@@ -76,11 +77,35 @@ def checkpoints(r: DataFrame, size: int = CHECKPOINT) -> DataFrame:
 
 
 def window_stats(r: DataFrame) -> DataFrame:
-    """Over the last 20 minutes of each reading; 20.0 where a window has nothing can't occur here, as it has the reading."""
+    """Over the last 20 minutes of each reading, which the window has; ``window_at`` takes any minute."""
     w = minutes(CHECKPOINT - 1)
     return r.select("sensor", "seq", F.min("t10").over(w).alias("min_t10"), F.max("t10").over(w).alias("max_t10"), (F.sum("t10").over(w) / 10.0 / F.count(F.lit(1)).over(w)).alias("avg_temp"))
 
 
+def window_at(r: DataFrame, probes: DataFrame) -> DataFrame:
+    """Statistics of the 20 minutes up to each probe (sensor, minute); 20.0 degrees each where a window has no reading.
+
+    A range join by slots of 20 minutes: a probe meets only the readings of the two slots that its window touches."""
+    slot = lambda c: F.floor(c / CHECKPOINT)
+    first = F.col("minute") - (CHECKPOINT - 1)
+    asked = probes.select("sensor", F.col("minute").alias("probe"), F.explode(F.array_distinct(F.array(slot(first), slot(F.col("minute"))))).alias("slot"))
+    near = asked.join(r.select("sensor", "minute", "t10", slot(F.col("minute")).alias("slot")), ["sensor", "slot"]).filter(F.col("minute").between(F.col("probe") - (CHECKPOINT - 1), F.col("probe")))
+    found = near.groupBy("sensor", F.col("probe").alias("minute")).agg(F.min("t10").alias("lo"), F.max("t10").alias("hi"), F.sum("t10").alias("total"), F.count(F.lit(1)).alias("n"))
+    value = lambda c: F.coalesce(F.round(c, 6), F.lit(20.0))
+    return probes.join(found, ["sensor", "minute"], "left").select("sensor", "minute", value(F.col("lo") / 10.0).alias("min"), value(F.col("hi") / 10.0).alias("max"), value(F.col("total") / 10.0 / F.col("n")).alias("avg"))
+
+
+def degrees(t10: Column) -> Column:
+    """Tenths as text with one decimal."""
+    size = F.abs(t10).cast("bigint")
+    return F.concat(F.when(t10 < 0, "-").otherwise(""), F.floor(size / 10).cast("string"), F.lit("."), (size % 10).cast("string"))
+
+
+def rounded(total: Column, n: Column) -> Column:
+    """The mean of tenths as whole tenths, half up."""
+    return F.floor(total / n + 0.5)
+
+
 def recent_trend(r: DataFrame, last: int = 10) -> DataFrame:
     """Least-squares slope of the last readings (degrees a reading) and its name; under two readings it is stable."""
     w = ordered().rowsBetween(1 - last, 0)
@@ -145,9 +170,7 @@ def _precursor(n: Column, low: Column, high: Column, total: Column, velocity: Co
 def precursor_match(r: DataFrame, cp: DataFrame, k: int = 3, last: int = 8, most: float = 0.35) -> DataFrame:
     """``cp`` with precursor_pct: of the ``k`` nearest windows before the key's ``last`` faults so far, those within cosine
     distance ``most``, as whole percent of ``k`` or of these faults if they are fewer. Faults without readings before them count as faults; 0 without faults."""
-    first, final = F.min_by("t10", "seq"), F.max_by("t10", "seq")
-    stats = _before_faults(r).groupBy("sensor", "fault_seq").agg(F.count(F.lit(1)).alias("n"), F.min("t10").alias("lo"), F.max("t10").alias("hi"), F.sum("t10").alias("total"), (final - first).alias("rise"))
-    vectors = stats.select("sensor", F.col("fault_seq").alias("seq"), _precursor(F.col("n"), F.col("lo"), F.col("hi"), F.col("total"), F.col("rise") / 10.0 / F.col("n")).alias("v"))
+    vectors = encode_precursors(r).withColumnRenamed("fault_seq", "seq")
     faults = r.filter("status = 'FAULT'").select("sensor", "seq").join(vectors, ["sensor", "seq"], "left")
     known = faults.select("sensor", "seq", F.collect_list(F.struct("v")).over(ordered().rowsBetween(1 - last, 0)).alias("known"))
     so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
@@ -166,6 +189,14 @@ def _unit(t10: Column) -> Column:
     return F.round(F.least(F.greatest((t10 / 10.0 - 20.0) / 20.0, F.lit(-1.0)), F.lit(1.0)), 6)
 
 
+def encode_precursors(r: DataFrame) -> DataFrame:
+    """Vectors of four of the windows before faults: highest, mean, half the velocity, anomaly flag."""
+    first, final = F.min_by("t10", "seq"), F.max_by("t10", "seq")
+    stats = _before_faults(r).groupBy("sensor", "fault_seq").agg(F.count(F.lit(1)).alias("n"), F.min("t10").alias("lo"), F.max("t10").alias("hi"), F.sum("t10").alias("total"), (final - first).alias("rise"))
+    v = _precursor(F.col("n"), F.col("lo"), F.col("hi"), F.col("total"), F.col("rise") / 10.0 / F.col("n"))
+    return stats.select("sensor", "fault_seq", v.alias("v"))
+
+
 def encode_windows(cp: DataFrame) -> DataFrame:
     """Checkpoint vectors of four: highest, mean, high-fault and low-fault flag."""
     return cp.select(
