@@ -28,7 +28,7 @@ from .util import fresh, materialize, read, release, sent_back, slices
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a bucket from which it is dealt again, rows that one call looks at on average, and buckets the sketch proposes and tracks.
-SPLIT, CHUNK, HEAVY, TRACKED = 20_000, 400_000, 1024, 8192
+SPLIT, CHUNK, HEAVY, TRACKED = 20_000, 1_000_000, 1024, 8192
 #: For ``percent``: fingerprints of a document, words in a shingle of them, differing bits up to which a shared bucket proposes, and shingles of the sets that one call compares.
 PRINTS, PRINT_SHINGLE, REACH, COMPARED = 12, 2, 8, 4_000_000
 
@@ -129,6 +129,21 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(fps[a], fps[b]) for a, b in linked(fps, np.arange(len(fps)), radius, radius)]
 
 
+def spanning(links: np.ndarray) -> np.ndarray:
+    """Those of the links (rows of two numbers) that join something not joined yet, the first first."""
+    names, ends = np.unique(links, return_inverse=True)
+    root, kept = list(range(len(names))), []
+    for k, (a, b) in enumerate(ends.reshape(-1, 2).tolist()):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(k)
+    return links[kept]
+
+
 def _quarters(fp: Column, radius: int, turn: int) -> Column:
     """Blocks (number, bits) of the fingerprint, turned by ``turn`` bits first."""
     turned = F.shiftleft(fp, turn).bitwiseOR(F.shiftrightunsigned(fp, 64 - turn)) if turn else fp
@@ -172,7 +187,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, reach: int | None = None) -> D
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         many = np.flatnonzero(np.diff(edges) > 1)
         found = [x for a, b in zip(edges[many], edges[many + 1], strict=True) for x in linked(fp[a:b], node[a:b], radius, reach)]
-        both = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+        both = spanning(np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0))
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     return rows.groupBy(F.pmod("bucket", F.lit(calls)).alias("call")).applyInArrow(run, "a bigint, b bigint").distinct()
