@@ -94,11 +94,14 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         counts = np.zeros((2, 1 << BITS), np.int64)
         for rows, answers in pairs:
             chosen = {i for _, ids in answers for i in ids}
-            own = [(i in chosen, (t or "").encode()) for i, t in rows]
-            rows.clear()
-            for row, texts in ((1, [t for _, t in own]), (0, [t for c, t in own if c])):
-                for a, b in _blocks(texts):
-                    counts[row] += np.bincount(buckets(texts[a:b])[0], minlength=1 << BITS)
+            while rows:  # a block's texts at a time, each given up once counted
+                block, size = [], 0
+                while rows and size < BLOCK:
+                    i, t = rows.pop()
+                    block.append((i in chosen, (t or "").encode()))
+                    size += len(block[-1][1])
+                for row, texts in ((1, [t for _, t in block]), (0, [t for c, t in block if c])):
+                    counts[row] += np.bincount(buckets(texts)[0], minlength=1 << BITS)
         seen = np.flatnonzero(counts[1])
         yield seen.tolist(), counts[0][seen].tolist(), counts[1][seen].tolist()
         release()
