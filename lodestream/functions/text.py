@@ -44,5 +44,36 @@ def contains_tokens(pred: Column, gold: Column) -> Column:
     return (F.size(gold) > 0) & F.contains(wrap(pred), wrap(gold))
 
 
+def _per_alias(pred: Column, aliases: Column, of, nothing: Column) -> Column:
+    """The greatest of a score over all aliases (array<string>); null without aliases."""
+    best = F.array_max(F.transform(aliases, lambda a: of(pred, answer_tokens(a))))
+    return F.when(aliases.isNull() | (F.size(aliases) == 0), F.lit(None)).otherwise(F.coalesce(best, nothing))
+
+
+def f1_aliases(pred: Column, aliases: Column) -> Column:
+    """``pred`` is a token array, ``aliases`` texts; so for the next two."""
+    return _per_alias(pred, aliases, token_f1, F.lit(0.0))
+
+
+def em_strict(pred: Column, aliases: Column) -> Column:
+    """1 if the tokens equal those of an alias that has some."""
+    return _per_alias(pred, aliases, lambda p, g: F.when((F.size(g) > 0) & (p == g), 1.0).otherwise(0.0), F.lit(0.0))
+
+
+def em_contains(pred: Column, aliases: Column) -> Column:
+    """1 if the tokens of an alias that has some occur next to each other."""
+    return _per_alias(pred, aliases, lambda p, g: F.when(contains_tokens(p, g), 1.0).otherwise(0.0), F.lit(0.0))
+
+
+def prompt(question: Column, passages: Column, most: int = 500) -> Column:
+    """The question with numbered passages (array<string>), each cut at ``most`` characters; without passages the plain form."""
+    #: The wording of both prompts.
+    head = "Answer the question using only the context below. Reply with a short factual answer (one phrase).\n\nContext:\n"
+    plain = "Answer the question with a short factual phrase (one line).\n"
+    lines = F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(p, 1, most), F.lit("\n"))), "")
+    full = F.concat(F.lit(head), lines, F.lit("\nQuestion: "), question, F.lit("\nAnswer:"))
+    return F.when(F.coalesce(F.size(passages), F.lit(0)) > 0, full).otherwise(F.concat(F.lit(plain + "Question: "), question, F.lit("\nAnswer:")))
+
+
 def estimate_tokens(c: Column) -> Column:
     return F.floor(F.length(c) / 4)
