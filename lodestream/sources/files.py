@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -90,14 +91,20 @@ def matrices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """Each table under ``path/version=N/name``: a version is complete before it is named."""
+    """All tables of a version, written aside first; the marker that names them comes last. A version without its marker doesn't exist.
+
+    Tables are written to a folder of their own each time, so a failed or repeated save harms no version that is there."""
+    (spark,) = {df.sparkSession for df in tables.values()}
+    folder = f"{path}/parts/{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+        df.write.parquet(f"{folder}/{name}")
+    spark.createDataFrame([(name, f"{folder}/{name}") for name in tables], "name string, folder string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def load_snapshot(spark: SparkSession, path: str, version: int, names: list[str]) -> dict[str, DataFrame]:
-    """Replaces the whole state: what isn't in the version isn't there."""
-    return {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in names}
+def load_snapshot(spark: SparkSession, path: str, version: int, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Replaces the whole state: what isn't in the version isn't there. An error if the version was never completed."""
+    marker = {r.name: r.folder for r in spark.read.parquet(f"{path}/version={version}/*.parquet").collect()}  # one row a table
+    return {name: spark.read.parquet(marker[name]) for name in names or marker}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -111,6 +118,19 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
-def upsert(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Insert, update and delete by key: rows of ``changes`` replace those of ``state``; a true ``_deleted`` removes."""
+def tex(df: DataFrame, most: int = 1000) -> str:
+    """A table of at most ``most`` rows in TeX, special characters escaped."""
+    special = {c: "\\" + c for c in "&%$#_{}"} | {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+    line = lambda xs: " & ".join("" if x is None else "".join(special.get(c, c) for c in str(x)) for x in xs) + r" \\"
+    rows = [line(r) for r in df.limit(most).collect()]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", line(df.columns), r"\hline", *rows, r"\end{tabular}"])
+
+
+def upsert(state: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Insert, update and delete by key: rows of ``changes`` replace those of ``state``; a true ``_deleted`` removes.
+
+    Of several changes of a key the last by the column ``order`` counts; without one, keys must be unique."""
+    if order is not None:
+        columns = [c for c in changes.columns if c not in (key, order)]
+        changes = changes.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_c")).select(key, "_c.*")
     return state.join(changes.select(key), key, "left_anti").unionByName(changes.filter(~F.col("_deleted")).drop("_deleted"))
