@@ -28,7 +28,7 @@ from .util import fresh, materialize, read, release, sent_back, slices
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a bucket from which it is dealt again, rows that one call looks at on average, and buckets the sketch proposes and tracks.
-SPLIT, CHUNK, HEAVY, TRACKED = 20_000, 1_000_000, 1024, 8192
+SPLIT, CHUNK, HEAVY, TRACKED = 20_000, 600_000, 1024, 8192
 #: For ``percent``: fingerprints of a document, words in a shingle of them, differing bits up to which a shared bucket proposes, and shingles of the sets that one call compares.
 PRINTS, PRINT_SHINGLE, REACH, COMPARED = 12, 2, 8, 4_000_000
 
@@ -188,6 +188,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, reach: int | None = None) -> D
         many = np.flatnonzero(np.diff(edges) > 1)
         found = [x for a, b in zip(edges[many], edges[many + 1], strict=True) for x in linked(fp[a:b], node[a:b], radius, reach)]
         both = spanning(np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0))
+        del bucket, fp, node, order, found
+        release()
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     return rows.groupBy(F.pmod("bucket", F.lit(calls)).alias("call")).applyInArrow(run, "a bigint, b bigint").distinct()

@@ -1,14 +1,16 @@
 """Removal of repeated byte strings by suffix arrays, for a corpus of any size.
 
-A string of ``MATCH`` bytes that occurs twice has the same least hash among its ``GRAM``-byte substrings. So every
-text is cut into runs of window starts that share the place of their least hash, the anchor:
-
-1. Each input partition sends its distinct anchor hashes to buckets; a bucket answers, bit by bit, which of them
-   another document has too. A hot anchor costs a bucket one entry for each partition, however often it occurs.
-2. For shared anchors the run's bytes (its windows, no more) go to the anchor's shard. A shard keeps distinct byte
-   strings with their smallest id, sorts their suffixes by external induced sorting, and reads off, from
-   common prefixes of at least ``MATCH``, the smallest id that has each window.
-3. The windows that a smaller id has come back as spans, and each partition removes the bytes they cover.
+A string of ``MATCH`` bytes that occurs twice has the same least hash among its ``GRAM``-byte substrings, its anchor. So every
+text is cut into runs of window starts that share an anchor:
+
+1. Each input partition sends its distinct anchors to buckets; a bucket answers, bit by bit, which of them
+   another document has too.
+2. For shared anchors a partition sends the distinct strings of its runs, each with the least and the greatest id that has it there, to
+   the anchor's shard. So a hot anchor or a text of which there are many copies costs a shard a string for each partition, however often
+   it occurs. A shard writes the distinct strings to a scratch file and sorts all their suffixes by external induced
+   sorting; the order comes out block by block, and where common prefixes reach ``MATCH``, the least id that has a window is read off.
+3. Stretches of windows that a smaller id has go back to the partitions, which apply them to each occurrence and remove
+   the bytes they cover.
 
 Texts never leave their partition: results come back by partition number and are zipped with it. Every exchange
 holds arrays compressed as blobs. The partitions of the scan are fixed, so a lost task reads the same rows again.
@@ -17,24 +19,25 @@ holds arrays compressed as blobs. The partitions of the scan are fixed, so a los
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .suffix_sort import sort_suffixes
+from .suffix_sort import BUDGET, descending, room
 from .util import materialize, read, release, sent_back
 
 MATCH, GRAM = 50, 16
 #: Byte between the strings of a shard: never part of UTF-8.
 BORDER = 0xFF
-#: Anchors in a bucket, bytes whose suffixes are sorted at a time, and bytes of text that are hashed at a time; a document may be longer.
-BUCKET, SORTED, BLOCK = 1_500_000, 2 << 20, 1 << 20
+#: Anchors in a bucket, bytes of text that are hashed at a time (a document may be longer), windows in a run, bytes that a split of the scan may have.
+BUCKET, BLOCK, RUN, SPLIT = 1_500_000, 1 << 20, 128, 32 << 20
 #: Bytes of text for which there is a shard; a shard gets the strings of shared anchors, up to four times as much if all are.
-SHARD = 16 << 20
+SHARD = 8 << 20
 NO_ID = 2**63 - 1
 
 
@@ -51,7 +54,7 @@ def _hashes(text: np.ndarray) -> np.ndarray:
 
 
 def runs(texts: list[bytes]) -> list[np.ndarray]:
-    """Runs of windows with one anchor: (document number, first window's place, its last one's, anchor's hash)."""
+    """Runs of windows with one anchor, RUN of them at most: (document number, first window's place, its last one's, anchor's hash)."""
     out = []
     start = 0
     while start < len(texts):
@@ -71,24 +74,23 @@ def runs(texts: list[bytes]) -> list[np.ndarray]:
 
 def _block_runs(text: np.ndarray, base: np.ndarray, lengths: np.ndarray, first: int):
     h = _hashes(text)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first place counts
-    span, width = MATCH - GRAM + 1, 1
+    least, span, width = h, MATCH - GRAM + 1, 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if span > width:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    anchor = (least & low).astype(np.int64)
     windows = np.maximum(lengths - MATCH + 1, 0)
     doc = np.repeat(np.arange(len(lengths)), windows)
+    if not len(doc):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = base[doc] + place
-    mine = anchor[at]
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mine[1:] != mine[:-1])))) if len(doc) else np.zeros(0, np.int64)
-    last = np.concatenate((new[1:] - 1, [len(doc) - 1])) if len(doc) else new
-    key = h[mine[new]]  # a least hash is small, so mix it again before hashes are dealt by their size
+    key = least[base[doc] + place]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    new = np.flatnonzero((np.arange(len(doc)) - start) % RUN == 0)
+    last = np.append(new[1:] - 1, len(doc) - 1)
+    key = key[new]  # a least hash is small, so mix it again before hashes are dealt by their size
     key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
     return (doc[new] + first).astype(np.int32), place[new].astype(np.int32), place[last].astype(np.int32), key ^ (key >> np.uint64(32))
 
@@ -129,47 +131,138 @@ def _cuts(h: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate((np.searchsorted(h, edges), [len(h)]))
 
 
-def first_owners(strings: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Stretches of windows with one first owner, the smallest owner (0 or more) of a string that has the window: (string, first window, last window, owner)."""
-    sizes = np.array([len(s) for s in strings], np.int64)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(bytes([BORDER]).join(strings) + bytes([BORDER]), np.uint8)
-    at, common = sort_suffixes(text, MATCH)
-    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
-    own = owner[at]
-    whole = at - starts[own] <= sizes[own] - MATCH
-    group = np.cumsum(common < MATCH)[whole]
-    at, own = at[whole], own[whole]
-    fresh = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(owners[own], fresh)
-    found = np.full(len(text), -1, np.int64)
-    found[at] = np.repeat(least, np.diff(np.concatenate((fresh, [len(at)]))))
-    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1]))))
-    end = np.concatenate((new[1:], [len(text)])) - 1
-    real = found[new] >= 0
-    new, end = new[real], end[real]
-    string = owner[new].astype(np.int64)
-    return string, new - starts[string], end - starts[string], found[new]
-
-
-def settle(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]) -> dict[int, list[np.ndarray]]:
-    """rows: (partition, document numbers, ids, places, strings). Spans that a smaller id has: {partition: [(number, start, end)]}."""
+def shared_strings(texts: list[bytes], ids: np.ndarray, answers: list[tuple[int, bytes]], buckets: int):
+    """Runs whose anchor another document has: (document number, first window's place, string's number) of each, and of each distinct string
+    (bytes, anchor's hash, least id, greatest id). The same texts and answers give the same numbers."""
+    doc, first, last, h = runs(texts)
+    own = _own_anchors(doc, h, ids)
+    cut = _cuts(own, buckets)
+    shared = np.zeros(len(own), bool)
+    for bucket, bits in answers:
+        n = cut[bucket + 1] - cut[bucket]
+        shared[cut[bucket] : cut[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+    hit = np.flatnonzero(shared[np.searchsorted(own | np.uint64(1), h | np.uint64(1))]) if len(own) else np.zeros(0, np.int64)
+    hit = hit[np.argsort(h[hit], kind="stable")]
+    doc, first, last, h = doc[hit], first[hit], last[hit], h[hit]
     known: dict[bytes, int] = {}
-    which = np.array([known.setdefault(s, len(known)) for *_, strings in rows for s in strings], np.int64)
-    part = np.repeat([p for p, *_ in rows], [len(docs) for _, docs, *_ in rows])
-    number, who, place = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
-    rank, order = np.unique(who, return_inverse=True)  # ids as ranks, so any id will do
-    owners = np.full(len(known), len(rank), np.int64)
-    np.minimum.at(owners, which, order)
-    string, a, b, first = first_owners(list(known), owners)
-    begin = np.searchsorted(string, np.arange(len(known) + 1))
+    spans = zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)
+    which = np.fromiter((known.setdefault(texts[d][a : b + MATCH], len(known)) for d, a, b in spans), np.int64, len(doc))
+    least, greatest = np.full(len(known), NO_ID, np.int64), np.full(len(known), -(2**63), np.int64)
+    np.minimum.at(least, which, ids[doc])
+    np.maximum.at(greatest, which, ids[doc])
+    anchor = np.zeros(len(known), np.uint64)
+    anchor[which] = h
+    return doc, first, which, list(known), anchor, least, greatest
+
+
+def first_owners(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretches of windows with one first owner, the least owner of a string that has the window: (string, first window, last window, owner), block by block.
+
+    ``text`` has the strings one after another, each with a border; suffixes come from the greatest on, and a group of
+    equal windows that goes on in the next block is held until it ends."""
+    found, none = room(len(text), np.int64), NO_ID
+    found[:] = none
+    held_at, held_least = np.zeros(0, np.int64), NO_ID
+    for at, lcp in descending(text, 256, MATCH, budget):
+        own = np.searchsorted(starts, at, side="right") - 1
+        whole = at - starts[own] <= sizes[own] - MATCH
+        group = np.cumsum(lcp < MATCH)
+        at, own, group = at[whole], own[whole], group[whole]
+        at, group = np.concatenate((held_at, at)), np.concatenate((np.zeros(len(held_at), np.int64), group))
+        value = np.concatenate((np.full(len(held_at), held_least), owners[own]))
+        if not len(at):
+            continue
+        new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        least = np.minimum.reduceat(value, new)
+        ended = new[-1]
+        found[at[:ended]] = np.repeat(least[:-1], np.diff(new))
+        held_at, held_least = at[ended:], int(least[-1])
+    found[held_at] = held_least
+    step = 1 << 18
+    for a in range(0, len(starts), step):
+        low, high = int(starts[a]), int(starts[min(len(starts), a + step) - 1] + sizes[min(len(starts), a + step) - 1]) + 1
+        here, own = found[low:high], np.repeat(np.arange(a, min(len(starts), a + step)), sizes[a : a + step] + 1)
+        new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (here[1:] != here[:-1]))))
+        end = np.append(new[1:], len(here)) - 1
+        real = here[new] != none
+        new, end = new[real], end[real]
+        yield own[new], new + low - starts[own[new]], end + low - starts[own[new]], np.array(here[new])
+
+
+def settle(blobs: list[tuple[int, int, bytes, bytes]], budget: int = BUDGET) -> Iterator[tuple[int, bytes]]:
+    """A shard's answers from (partition, strings, their numbers and sizes and ids, their bytes): for each partition, of its strings the stretches of
+    windows that an id has which is smaller than the greatest id of the string there.
+
+    Equal strings of several partitions are one; they are told by 128-bit hashes, and only compressed blobs, hashes and
+    numbers are held, not the strings."""
+    def opened(n: int, meta: bytes):
+        raw = zlib.decompress(meta)
+        return [np.frombuffer(raw[a:b], t) for a, b, t in ((0, 4 * n, np.int32), (4 * n, 5 * n, np.uint8), (5 * n, 13 * n, np.int64), (13 * n, 21 * n, np.int64))]
+
+    signs, sizes, least = [], [], []
+    for _, n, meta, data in blobs:
+        _, size, low, _ = opened(n, meta)
+        text, ends = zstandard.decompress(data), np.cumsum(size.astype(np.int64) + MATCH).tolist()
+        signs.append(np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *ends], ends, strict=False)]), "V16"))
+        sizes.append(size.astype(np.int64) + MATCH)
+        least.append(low)
+    edges = np.cumsum([0, *map(len, signs)])
+    _, first, which = np.unique(np.concatenate(signs), return_index=True, return_inverse=True)
+    by_place = np.argsort(first, kind="stable")  # strings are numbered as they first occur
+    number = np.empty(len(first), np.int64)
+    number[by_place] = np.arange(len(first))
+    which, first = number[which], first[by_place]
+    size = np.concatenate(sizes)[first]
+    owners = np.full(len(first), NO_ID, np.int64)
+    np.minimum.at(owners, which, np.concatenate(least))
+    starts = np.cumsum(size + 1) - size - 1
+    text, at = room(int(size.sum()) + len(size), np.uint8), 0
+    for k, (_, _, _, data) in enumerate(blobs):
+        raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+        mine = first[(first >= edges[k]) & (first < edges[k + 1])] - edges[k]
+        ends = np.cumsum(sizes[k])
+        for j in mine.tolist():
+            stop = at + int(sizes[k][j])
+            text[at:stop] = raw[ends[j] - sizes[k][j] : ends[j]]
+            text[stop] = BORDER
+            at = stop + 1
+    found = [np.concatenate(x) for x in zip(*first_owners(text, starts, size, owners, budget), strict=True)]
+    if not found:
+        return
+    string, a, b, owner = found
+    begin = np.searchsorted(string, np.arange(len(first) + 1))
+    for k, (part, n, meta, _) in enumerate(blobs):
+        numbers, _, _, greatest = opened(n, meta)
+        mine = which[edges[k] : edges[k + 1]]
+        many = (begin[1:] - begin[:-1])[mine]
+        row = np.repeat(np.arange(n), many)
+        stretch = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[mine][row]
+        lost = owner[stretch] < greatest[row]
+        row, stretch = row[lost], stretch[lost]
+        if len(row):
+            yield part, _pack(numbers[row], a[stretch].astype(np.uint8), b[stretch].astype(np.uint8), owner[stretch])
+
+
+def lost_spans(doc: np.ndarray, first: np.ndarray, which: np.ndarray, ids: np.ndarray, strings: int, blobs: list[bytes]) -> np.ndarray:
+    """(document number, start, end) of what a smaller id has, from the stretches of the partition's strings."""
+    if not blobs:
+        return np.zeros((0, 3), np.int64)
+    columns = [], [], [], []
+    for blob in blobs:
+        raw = zlib.decompress(blob)
+        n = len(raw) // 14
+        for column, (a, b, t) in zip(columns, ((0, 4 * n, np.int32), (4 * n, 5 * n, np.uint8), (5 * n, 6 * n, np.uint8), (6 * n, 14 * n, np.int64)), strict=True):
+            column.append(np.frombuffer(raw[a:b], t))
+    string, a, b, owner = (np.concatenate(c) for c in columns)
+    order = np.argsort(string, kind="stable")
+    string, a, b, owner = string[order], a[order].astype(np.int64), b[order].astype(np.int64), owner[order]
+    begin = np.searchsorted(string, np.arange(strings + 1))
     many = (begin[1:] - begin[:-1])[which]
     row = np.repeat(np.arange(len(which)), many)
     stretch = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[which][row]
-    lost = first[stretch] < order[row]
+    lost = owner[stretch] < ids[doc[row]]
     row, stretch = row[lost], stretch[lost]
-    spans = np.stack([number[row], place[row] + a[stretch], place[row] + b[stretch] + MATCH], axis=1)
-    return {int(p): [spans[part[row] == p]] for p in np.unique(part[row])}
+    return np.stack([doc[row].astype(np.int64), first[row] + a[stretch], first[row] + b[stretch] + MATCH], axis=1)
 
 
 def covered(spans: np.ndarray) -> np.ndarray:
@@ -185,6 +278,22 @@ def covered(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], spans[starts, 1], reach[ends] - spans[starts, 0] * (1 << 40)], axis=1)
 
 
+def fixed_scan(table: DataFrame):
+    """The rows of a stored table as an RDD whose partitions are fixed: splits of SPLIT bytes at most, whatever the session reads elsewhere."""
+    conf, key = table.sparkSession.conf, "spark.sql.files.maxPartitionBytes"
+    before = conf.get(key)
+    smaller = table.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > SPLIT
+    try:
+        if smaller:
+            conf.set(key, str(SPLIT))
+        rows = table.rdd
+        rows.getNumPartitions()  # splits are made here
+    finally:
+        if smaller:
+            conf.set(key, before)
+    return rows
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept binary, spans array<struct<start, stop>> of the maximal removed runs.
 
@@ -198,9 +307,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not stored:
         plain = materialize(plain, "suffix-docs")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    base = plain.rdd
+    base = fixed_scan(plain)
     buckets = max(12, -(-total * 2 // ((MATCH - GRAM + 2) * BUCKET)))
-
     shards = max(12, -(-total // SHARD))
 
     def rows_of(rows):
@@ -231,59 +339,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows.clear()
             if not answers:
                 continue
-            doc, first, last, h = runs(texts)
-            own = _own_anchors(doc, h, ids)
-            cut = _cuts(own, buckets)
-            shared = np.zeros(len(own), bool)
-            for _, (bucket, bits) in answers:
-                n = cut[bucket + 1] - cut[bucket]
-                shared[cut[bucket] : cut[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-            hit = np.flatnonzero(shared[np.searchsorted(own | np.uint64(1), h | np.uint64(1))])
-            hit = hit[np.argsort(h[hit], kind="stable")]
-            doc, first, last, h = doc[hit], first[hit], last[hit], h[hit]
-            edges = _cuts(h, shards)
+            _, _, _, strings, anchor, least, greatest = shared_strings(texts, ids, [x for _, x in answers], buckets)
+            texts.clear()
+            edges = _cuts(anchor, shards)  # strings come by anchor
             for k in range(shards):
                 s = slice(edges[k], edges[k + 1])
-                if edges[k + 1] == edges[k]:
-                    continue
-                spans = zip(doc[s].tolist(), first[s].tolist(), last[s].tolist(), strict=True)
-                strings = b"".join([texts[d][a : b + MATCH] for d, a, b in spans])
-                sizes = (last[s] - first[s]).astype(np.uint8)
-                yield k, (part, len(sizes), _pack(doc[s].astype(np.int32), ids[doc[s]], first[s].astype(np.int32), h[s], sizes), zstandard.compress(strings, 3))
+                if edges[k + 1] > edges[k]:
+                    sizes = np.array([len(x) - MATCH for x in strings[s]], np.uint8)
+                    yield k, (part, len(sizes), _pack(np.arange(s.start, s.stop, dtype=np.int32), sizes, least[s], greatest[s]), zstandard.compress(b"".join(strings[s]), 3))
         release()
 
     def sort_shard(item):
-        held = []
-        for part, n, meta, text in item[1]:
-            raw = zlib.decompress(meta)
-            edges = np.cumsum([0, 4 * n, 8 * n, 4 * n, 8 * n, n]).tolist()
-            doc, ids, first, h, size = (np.frombuffer(raw[a:b], t) for a, b, t in zip(edges, edges[1:], (np.int32, np.int64, np.int32, np.uint64, np.uint8), strict=False))
-            held.append((part, doc, ids, first, size, h, zstandard.decompress(text)))
-        pieces = max(1, sum(len(x[-1]) for x in held) // SORTED)
-        spans: dict[int, list[np.ndarray]] = {}
-        for k in range(pieces):  # an anchor's strings go to one piece
-            rows = []
-            for part, doc, ids, first, size, h, text in held:
-                mine = np.flatnonzero((h >> np.uint64(8)) % np.uint64(pieces) == np.uint64(k))
-                if len(mine):
-                    ends = np.cumsum(size.astype(np.int64) + MATCH)[mine].tolist()
-                    strings = [text[e - s - MATCH : e] for e, s in zip(ends, size[mine].tolist(), strict=True)]
-                    rows.append((part, doc[mine].astype(np.int64), ids[mine], first[mine].astype(np.int64), strings))
-            for part, found in settle(rows).items() if rows else ():
-                spans.setdefault(part, []).extend(found)
-        held.clear()
+        yield from settle(list(item[1]))
         release()
-        for part, found in spans.items():
-            yield part, zlib.compress(covered(np.concatenate(found)).astype(np.int32).tobytes(), 1)
 
     def keep(pairs):
         for rows, answers in pairs:
-            found = [np.frombuffer(zlib.decompress(b), np.int32).reshape(-1, 3).astype(np.int64) for _, b in answers]
-            gone = covered(np.concatenate(found)) if found else np.zeros((0, 3), np.int64)
+            ids, texts = rows_of(rows)
+            bits, found = ([x for _, (tag, x) in answers if tag == t] for t in (0, 1))
+            gone = np.zeros((0, 3), np.int64)
+            if found:
+                doc, first, which, strings, *_ = shared_strings(texts, ids, bits, buckets)
+                gone = covered(lost_spans(doc, first, which, ids, len(strings), found))
+                del strings
             edges = np.searchsorted(gone[:, 0], np.arange(len(rows) + 1)).tolist()
             gone = gone[:, 1:].tolist()
-            for k, (doc, text, *rest) in enumerate(rows):
-                raw, at, left, cut = text.encode(), 0, [], gone[edges[k] : edges[k + 1]]
+            for k, raw in enumerate(texts):
+                doc, _, *rest = rows[k]
+                at, left, cut = 0, [], gone[edges[k] : edges[k + 1]]
+                texts[k] = rows[k] = None
                 for a, b in cut:
                     left.append(raw[at:a])
                     at = b
@@ -295,7 +379,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = base.mapPartitionsWithIndex(send_anchors).groupByKey(buckets).flatMap(answer)
     strings = sent_back(base, anchors).mapPartitionsWithIndex(send_strings)
     spans = strings.groupByKey(shards).flatMap(sort_shard)
-    kept = sent_back(base, spans).mapPartitions(keep)
+    both = spark.sparkContext.union([anchors.mapValues(lambda x: (0, x)), spans.mapValues(lambda x: (1, x))])
+    kept = sent_back(base, both).mapPartitions(keep)
     schema = T._parse_datatype_string(f"doc_id bigint, n_bytes bigint, kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,stop:bigint>>")
     return spark.createDataFrame(kept, T.StructType([*schema, *(plain.schema[c] for c in carry)]), verifySchema=False)
 

@@ -144,7 +144,7 @@ def repeats_of(df, **options):
 
 def test_repeats(spark, edge, documents, monkeypatch):
     assert repeats_of(edge) == brute_repeats(EDGE)
-    monkeypatch.setattr(suffix_dedup, "SORTED", 3000)
+    monkeypatch.setattr(suffix_dedup, "RUN", 7)
     small = documents.select("doc_id", F.substring("text", 1, 1500).alias("text"))
     assert repeats_of(small.repartition(4)) == brute_repeats([tuple(r) for r in small.collect()])
     assert suffix_dedup.remove_repeats(edge.limit(0)).count() == 0
@@ -152,6 +152,59 @@ def test_repeats(spark, edge, documents, monkeypatch):
     assert cleaned.columns == edge.columns and cleaned.count() == len(EDGE)
 
 
+def test_shard_far_larger_than_the_budget(documents):
+    """A text with 10 times as many places as the queues hold tuples: they spill, names recurse, and the order is that of plain sorting."""
+    text = b"\xff".join(text_of(r.text).encode() for r in documents.collect())[:150_000]
+    budget, depth = len(text) // 10, 50
+    deep, recursed = [], suffix_sort.descending
+
+    def watched(text, *rest):
+        deep.append(len(text))
+        yield from recursed(text, *rest)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_sort, "descending", watched)
+        m.setattr(suffix_sort, "BLOCK", 1000)
+        at, common = suffix_sort.sort_suffixes(np.frombuffer(text, np.uint8), depth, budget)
+    assert len(deep) >= 2 and deep[1] > budget  # names of a level that doesn't fit are sorted by recursion
+    keys = [text[k : k + depth] for k in at.tolist()]
+    assert keys == sorted(text[k : k + depth] for k in range(len(text))) and sorted(at.tolist()) == list(range(len(text)))
+    for a, b, n in zip(keys, keys[1:], common[1:].tolist(), strict=False):
+        assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
+def test_queues_stream_from_disk():
+    rng = np.random.default_rng(0)
+    queues, want = suffix_sort.Queues(3, 100), [[], [], []]
+    for _ in range(200):
+        q, n = int(rng.integers(3)), int(rng.integers(1, 40))
+        at = rng.integers(0, 10**12, n)
+        queues.push(q, at.astype(np.int32) % 7, at, (at % 51).astype(np.uint8))
+        want[q] += at.tolist()
+        assert queues.inside <= 100
+        if rng.random() < 0.3 and queues.size[q]:
+            symbol, got, lcp = queues.pop(q, 15)
+            assert len(got) <= 15 and got.tolist() == want[q][: len(got)] and (lcp == got % 51).all()
+            del want[q][: len(got)]
+    assert queues.spilled > 1000 and [queues.rest(q)[1].tolist() for q in range(3)] == want
+
+
+def test_boilerplate_costs_a_shard_little(spark):
+    """One boilerplate in every document: a partition sends its strings once, not once a document, and the result is that of brute force."""
+    boiler = " ".join(f"boiler{k}" for k in range(14))
+    rows = [(k, f"start {k * 7919} " + boiler + f" end {k * 104729}") for k in range(300)]
+    texts = [t.encode() for _, t in rows]
+    ids = np.arange(len(rows))
+    doc, _, _, h = suffix_dedup.runs(texts)
+    own = suffix_dedup._own_anchors(doc, h, ids)
+    bits = np.packbits(np.ones(len(own), bool)).tobytes()
+    *_, strings, _, least, greatest = suffix_dedup.shared_strings(texts, ids, [(0, bits)], 1)
+    inside = [k for k, x in enumerate(strings) if x in boiler.encode()]
+    assert 1 <= len(inside) <= 30 and all(least[k] == 0 and greatest[k] == len(rows) - 1 for k in inside)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert repeats_of(df) == brute_repeats(rows)
+
+
 @pytest.mark.parametrize("table", ["edge", "documents"])
 def test_sharding(spark, table, request):
     df = request.getfixturevalue(table)
