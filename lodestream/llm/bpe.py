@@ -339,6 +339,26 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``encode`` and ``decode`` of its ids in one pass over the texts, block by block."""
+    source = vocabulary(docs.sparkSession, tokenizer)
+
+    def run(batches):
+        bpe, back = trie(source.value), table(source.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in blocks(texts):
+                rows = bpe.encode(texts[a:b])
+                texts[a:b] = [None] * (b - a)
+                offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows])))
+                flat = np.frombuffer(b"".join(rows), np.int32)
+                decoded = pa.array(back.decode(flat, offsets), pa.string())
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, decoded], names=["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -346,8 +366,7 @@ def default_tokenizer() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_tokenizer()
-    out = decode(encode(read(spark, sf_dir, "documents"), path), path)
+    out = round_trip(read(spark, sf_dir, "documents"), default_tokenizer())
     return out.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
