@@ -119,18 +119,6 @@ def allowed(hits: int, misses: int) -> bool:
     return hits + misses < WARM_UP or (hits + PRIOR_HITS) / (hits + misses + PRIOR_HITS + PRIOR_MISSES) >= LEAST
 
 
-def fold(rows, record: dict[str, list[int]]):
-    """Goes through one key's checkpoints in order: (fired, truth) pairs in, gated predictions out; ``record`` learns.
-
-    The prediction of a checkpoint is settled by the next one's truth, before that one is scored."""
-    before: list[str] = []
-    for fired, truth in rows:
-        for k in before:
-            record[k][0 if truth else 1] += 1
-        yield any(k in TRIGGERS and allowed(*record[k]) for k in fired)
-        before = list(fired)
-
-
 def gated(scored: DataFrame) -> DataFrame:
     """(sensor, cp, predicted): a signal triggers only while its record allows it.
 

@@ -112,10 +112,12 @@ SAMPLE, PASSES, PROBED = 20_000, 8, 0.7
 def centres(corpus: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, seed: int = 0) -> np.ndarray:
     """``lists`` unit vectors by spherical k-means over a sample: the ``sample`` rows with the least hash of their id, the only rows that come to the driver."""
     rows = corpus.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(vector).cast("array<double>")).collect()
+    if not rows:
+        return np.zeros((1, 0))  # one list, of nothing
     x = np.array([r[0] for r in rows], float).reshape(len(rows), -1)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centre = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
-    for _ in range(PASSES if len(x) else 0):
+    for _ in range(PASSES):
         own = (x @ centre.T).argmax(axis=1)
         sums = np.zeros_like(centre)
         np.add.at(sums, own, x)
@@ -131,10 +133,10 @@ def _nearest_centres(df: DataFrame, centre: np.ndarray, many: int, id_col: str,
     def run(batches):
         for batch in batches:
             v = batch.column(1)
-            x = np.array(v.to_pylist(), float).reshape(len(v), -1)
-            if len(x) and len(sent.value) and x.shape[1] != sent.value.shape[1]:
+            x = np.array(v.to_pylist(), float).reshape(len(v), -1 if len(v) else sent.value.shape[1])
+            if sent.value.shape[1] and x.shape[1] != sent.value.shape[1]:
                 raise ValueError("vectors and index have different dimensions")
-            score = x @ sent.value.T if len(x) else np.zeros((0, len(sent.value)))
+            score = x @ sent.value.T if sent.value.shape[1] else np.zeros((len(x), 1))
             near = np.argsort(-score, axis=1, kind="stable")[:, :many].astype(np.int32)
             k = near.shape[1]
             at = np.repeat(np.arange(len(x)), k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import kv as K
+from ..operators.scripts import Scripts
 from .common import table
 
 
@@ -456,6 +457,13 @@ def group_commit(spark, d):
     return sums.groupBy("key", "field").agg(F.max_by("cents", "grp").alias("cents"))
 
 
+def script_eval(spark, d):
+    """A script loaded once and run by its digest: for each hash the last dear order."""
+    scripts = Scripts(spark)
+    digest = scripts.load("SELECT key, max_by(cents, seq) AS cents, count(*) AS n FROM {log} WHERE cents > :least GROUP BY key")
+    return scripts.evalsha(digest, {"least": 10_000_000}, log=_orders(spark, d))
+
+
 LOG = "WITH log AS (SELECT o_custkey AS key, o_orderstatus AS field, o_orderpriority AS member, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderkey AS seq FROM orders)"
 LAST = f"{LOG}, state AS (SELECT key, field, arg_max(cents, seq) AS cents FROM log GROUP BY 1, 2)"
 LISTS = f"{LOG}, l AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN field = 'F' THEN 0 ELSE 1 END, CASE WHEN field = 'F' THEN -seq ELSE seq END) - 1 AS pos, cents AS value, count(*) OVER (PARTITION BY key) AS n FROM log)"
@@ -570,6 +578,7 @@ QUERIES = {
     ),
     "hash_setnx": (hash_setnx, f"{LOG}, m AS (SELECT key, field, arg_min(cents, seq) AS cents FROM log GROUP BY 1, 2) SELECT *, CAST(length(CAST(cents AS VARCHAR)) AS INTEGER) AS length FROM m"),
     "hash_slots": (hash_slots, HASH_SLOTS),
+    "script_eval": (script_eval, f"{LOG} SELECT key, arg_max(cents, seq) AS cents, count(*) AS n FROM log WHERE cents > 10000000 GROUP BY 1"),
     "geo_positions": (geo_positions, f"{PLACES} SELECT w.m * s_suppkey AS member, lon, lat FROM supplier CROSS JOIN (VALUES (1), (-1)) w(m) LEFT JOIN p ON p.member = w.m * s_suppkey"),
     "stream_range": (stream_range, "SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20') WHERE place <= 3"),
     "stream_maxlen": (stream_maxlen, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i <= 5"),

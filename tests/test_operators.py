@@ -259,6 +259,18 @@ def test_published_files(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 2), (3, 4)]
 
 
+def test_scripts(spark):
+    from lodestream.operators.scripts import Scripts
+
+    scripts, t = Scripts(spark), spark.createDataFrame([(1,), (5,)], "x int")
+    digest = scripts.load("SELECT x + :y AS z FROM {t} WHERE x > 2")
+    assert scripts.exists(digest, "0" * 40) == [True, False] and [r.z for r in scripts.evalsha(digest.upper(), {"y": 2}, t=t).collect()] == [7]
+    assert [r.x for r in scripts.eval("SELECT max(x) AS x FROM {t}", t=t).collect()] == [5]
+    scripts.flush()
+    with pytest.raises(KeyError):
+        scripts.evalsha(digest)
+
+
 def test_paired_results_must_match(spark):
     a = spark.createDataFrame([("q1", 1.0), ("q2", 2.0)], "qid string, value double")
     assert sorted(tuple(r) for r in metrics.paired(a, a).collect()) == [("q1", 1.0, 1.0), ("q2", 2.0, 2.0)]
