@@ -142,7 +142,6 @@ class _Ranges:
     """Ranges of symbols that are sorted at a time: about ``size`` places each, or one symbol."""
 
     def __init__(self, counts: np.ndarray, size: int):
-        upto = np.cumsum(counts)
         if len(counts) <= 256:
             first = np.arange(len(counts))
         else:
@@ -152,7 +151,6 @@ class _Ranges:
         self.edges = np.append(first, len(counts))
         self.of = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(self.edges))
         self.number = len(first)
-        self.upto = np.concatenate(([0], upto))
 
 
 class _Induction:
@@ -203,7 +201,6 @@ class _Induction:
         least = int(lcp.min())
         while self.stack and self.stack[-1][1] >= least:
             self.stack.pop()
-        # a value holds from the first call after the last smaller one
         self.stack.append((self.calls, least))
         self.calls += 1
 
@@ -483,26 +480,19 @@ def descending(text: np.ndarray, symbols: int, depth: int, budget: int = BUDGET)
         last = first + int(of_seeds[q])
         for kind, at, lcp in up.run(q, _parts(seeds, common, first, last, True)):
             if kind == "mixed":
-                lcp, mine = lcp
-                at, lcp = at[mine.astype(bool)], _within(lcp, mine.astype(bool))
+                mine = lcp[1].astype(bool)  # a symbol's seeds come after them, so their neighbours are their own
+                at, lcp = at[mine], lcp[0][mine]
             if kind != "other":
                 l_at[done : done + len(at)], l_lcp[done : done + len(at)] = at, lcp
                 done += len(at)
         first, ends[q + 1] = last, done
     up.queues.close()
-    descending.spilled = up.queues.spilled
 
     down = _Induction(text, small, ranges, symbols, depth, budget, False)
     for q in range(ranges.number - 1, -1, -1):
         for kind, at, lcp in down.run(q, _parts(l_at, l_lcp, int(ends[q]), int(ends[q + 1]), False)):
             yield at, lcp[0] if kind == "mixed" else lcp
     down.queues.close()
-    descending.spilled += down.queues.spilled
-
-
-def _within(lcp: np.ndarray, mine: np.ndarray) -> np.ndarray:
-    """Values of some of a sequence's tuples among themselves. Their symbol's others come after them, so their neighbours are their own."""
-    return lcp[mine]
 
 
 def sort_suffixes(text: np.ndarray, depth: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:

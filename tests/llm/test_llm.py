@@ -156,7 +156,7 @@ def test_shard_far_larger_than_the_budget(documents):
     """A text with 10 times as many places as the queues hold tuples: they spill, names recurse, and the order is that of plain sorting."""
     text = b"\xff".join(text_of(r.text).encode() for r in documents.collect())[:150_000]
     budget, depth = len(text) // 10, 50
-    deep, recursed = [], suffix_sort.descending
+    deep, spilled, recursed, spill = [], [], suffix_sort.descending, suffix_sort.Queues._spill
 
     def watched(text, *rest):
         deep.append(len(text))
@@ -164,9 +164,11 @@ def test_shard_far_larger_than_the_budget(documents):
 
     with pytest.MonkeyPatch.context() as m:
         m.setattr(suffix_sort, "descending", watched)
+        m.setattr(suffix_sort.Queues, "_spill", lambda q: spilled.append(q.inside) or spill(q))
         m.setattr(suffix_sort, "BLOCK", 1000)
         at, common = suffix_sort.sort_suffixes(np.frombuffer(text, np.uint8), depth, budget)
     assert len(deep) >= 2 and deep[1] > budget  # names of a level that doesn't fit are sorted by recursion
+    assert sum(spilled) > len(text) // 2 and max(spilled) < 2 * budget
     keys = [text[k : k + depth] for k in at.tolist()]
     assert keys == sorted(text[k : k + depth] for k in range(len(text))) and sorted(at.tolist()) == list(range(len(text)))
     for a, b, n in zip(keys, keys[1:], common[1:].tolist(), strict=False):
