@@ -16,8 +16,8 @@ from ..functions import vectors as V
 
 #: Queries and corpus rows in a block, and queries whose distances to a block of rows are held at a time.
 QUERIES, ROWS, SLICE = 8_192, 16_384, 128
-#: The most neighbours a search gives.
-MOST = 4096
+#: The most neighbours a search gives, and rows in a chunk for ties by chunk.
+MOST, CHUNK = 4096, 1024
 
 
 def quantize(x: np.ndarray) -> np.ndarray:
@@ -57,7 +57,12 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "query_id bigint, id bigint, distance double"
 
 
-def _best(k: int, metric: str, most: float | None):
+def tie_order(ids, ties: str):
+    """What orders rows at equal distances: the id, or the chunk of the id and in a chunk the last row first."""
+    return ids if ties == "id" else ids - 2 * (ids % CHUNK)
+
+
+def _best(k: int, metric: str, most: float | None, ties: str = "id"):
     """A call on a block of queries and one of rows: the ``k`` nearest rows of each query."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -69,7 +74,7 @@ def _best(k: int, metric: str, most: float | None):
             sliced = (np.round(distances(q[s : s + SLICE], c, metric), 6) for s in range(0, len(qi), SLICE))
             for row, x in zip(qi, (x for d in sliced for x in d), strict=True):
                 near = np.flatnonzero(x <= np.partition(x, min(k, len(x)) - 1)[min(k, len(x)) - 1])
-                near = near[np.lexsort((ci[near], x[near]))][:k]
+                near = near[np.lexsort((tie_order(ci[near], ties), x[near]))][:k]
                 near = near[x[near] <= most] if most is not None else near
                 out[0].append(np.full(len(near), row))
                 out[1].append(ci[near])
@@ -80,9 +85,11 @@ def _best(k: int, metric: str, most: float | None):
     return run
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", most: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", most: float | None = None, ties: str = "id") -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` nearest rows of ``corpus`` for each query, itself included if it is there.
 
+    Equal distances come by id, or with ``ties`` of "chunk" as a store of chunks of CHUNK rows gives them (``tie_order``).
+
     ``most`` leaves out greater distances. k of 0 gives no rows; a negative one, one above MOST or a wrong dimension is an error.
     Predicates on rows (ranges, lists, ids from another table) are filters and semi joins of ``corpus`` before the call.
     """
@@ -94,8 +101,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", i
     left = plain(queries, query_blocks, "qb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
     right = plain(corpus, row_blocks, "rb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_best(k, metric, most), FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_best(k, metric, most, ties), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", tie_order(F.col("id"), ties)))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 

@@ -33,6 +33,11 @@ def knn_sql(distance: str, after: str = "") -> str:
     return f"WITH {BASE}, {top_sql(distance)} SELECT query_id, rank, id, distance FROM found {after}"
 
 
+def knn_ties(spark, d):
+    """Many equal distances, of signs only, in the order of a store of chunks."""
+    return K.knn(*_sides(spark, d), TOP, "hamming", ties="chunk")
+
+
 def knn_filtered(spark, d):
     """Only rows of label 3 are candidates: the filter reaches the scan, before any distance."""
     queries, corpus = _sides(spark, d)
@@ -232,6 +237,10 @@ QUERIES = {
     "knn_l1": (knn("l1"), knn_sql("list_sum(list_transform(list_zip(qv, cv), lambda z: abs(z[1] - z[2])))")),
     "knn_ip": (knn("ip"), knn_sql("-list_dot_product(qv, cv)")),
     "knn_hamming": (knn("hamming"), f"WITH {BASE}, qb AS (SELECT *, {BITS.format(v='qv')} AS qq FROM q), cb AS (SELECT *, {BITS.format(v='cv')} AS cc FROM c), d AS (SELECT query_id, id, CAST(list_sum(list_transform(list_zip(qq, cc), lambda z: abs(z[1] - z[2]))) AS DOUBLE) AS distance FROM qb, cb) SELECT query_id, rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= {TOP}"),
+    "knn_ties": (
+        knn_ties,
+        f"WITH {BASE}, qb AS (SELECT *, {BITS.format(v='qv')} AS qq FROM q), cb AS (SELECT *, {BITS.format(v='cv')} AS cc FROM c), d AS (SELECT query_id, id, CAST(list_sum(list_transform(list_zip(qq, cc), lambda z: abs(z[1] - z[2]))) AS DOUBLE) AS distance FROM qb, cb) SELECT query_id, rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id // 1024, id DESC) AS rank FROM d) WHERE rank <= {TOP}",
+    ),
     "knn_distance_range": (knn("cosine", most=0.35), knn_sql(COS, "WHERE distance <= 0.35")),
     "knn_filtered": (knn_filtered, f"WITH {BASE}, {top_sql(COS, 'cl = 3')} SELECT query_id, rank, id, distance FROM found"),
     "knn_int8": (knn("int8"), f"WITH {BASE8}, {top_sql(COS8)} SELECT query_id, rank, id, distance FROM found"),
