@@ -96,14 +96,26 @@ def _poisson_steps(most: int = 8) -> list[tuple[int, float]]:
     return out
 
 
-def poisson_weight(row: Column | str, draw: Column | str) -> Column:
-    """How often a draw with replacement takes a row: Poisson(1) from a hash of both as text, so SQL can follow it."""
-    text = F.concat_ws(":", F.col(row).cast("string") if isinstance(row, str) else row.cast("string"), F.col(draw).cast("string") if isinstance(draw, str) else draw.cast("string"))
-    u = F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("bigint") / 16777216.0
-    weight = F.lit(0)
-    for k, least in _poisson_steps():
-        weight = F.when(u >= least, k).otherwise(weight)
-    return weight
+def row_hash(row: Column | str) -> Column:
+    """32 bits of a row's id as text, once a row; draws mix them with their number."""
+    text = (F.col(row) if isinstance(row, str) else row).cast("string")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def drawn(rows: DataFrame, rounds: int, first: int = 0) -> DataFrame:
+    """Each row (row_id) once for every round from ``first`` on, with ``w``, how often a draw with replacement takes it; rounds below 0 take each row once.
+
+    Poisson(1) weights from the row's hash mixed with the round in whole-number steps that SQL can follow. Each step is a column of its own, so it is
+    computed once."""
+    out = rows.withColumn("_x", row_hash("row_id")).withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(rounds - 1))))
+    out = out.withColumn("_x", F.pmod(F.col("_x") + F.col("round") * 2654435769, F.lit(4294967296)))
+    for _ in range(2):
+        out = out.withColumn("_x", (F.col("_x").bitwiseXOR(F.shiftright("_x", 16)) * 73244475) % 4294967296)
+    out = out.withColumn("_x", F.col("_x").bitwiseXOR(F.shiftright("_x", 16)) / 4294967296.0)
+    weight = F.when(F.col("round") < 0, 1)
+    for k, least in reversed(_poisson_steps()):
+        weight = weight.when(F.col("_x") >= least, k)
+    return out.withColumn("w", weight.otherwise(0)).drop("_x")
 
 
 def poisson_sql(u: str) -> str:
@@ -126,9 +138,7 @@ def bootstrap_mean(values: DataFrame, key: str, value: str, rounds: int = 200, l
     Poisson(1) weights from a hash of (row, round) stand for drawing with replacement: one pass, no index join, the same
     result on every run. Null and NaN values are dropped."""
     rows = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(key, "row_id", F.col(value).cast("double").alias("x"))
-    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    weight = poisson_weight("row_id", "round")
-    means = drawn.withColumn("w", weight).groupBy(key, "round").agg((F.sum(F.col("x") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    means = drawn(rows, rounds).groupBy(key, "round").agg((F.sum(F.col("x") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     side = (1 - level) / 2
     ends = means.groupBy(key).agg(F.percentile("m", F.lit(side)).alias("low"), F.percentile("m", F.lit(1 - side)).alias("high"))
     return rows.groupBy(key).agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n")).join(ends, key)
@@ -137,9 +147,7 @@ def bootstrap_mean(values: DataFrame, key: str, value: str, rounds: int = 200, l
 def bootstrap_ratio(pairs: DataFrame, rounds: int = 200, level: float = 0.95) -> DataFrame:
     """Ratio of means of paired (row_id, a, b) with a percentile interval and whether it has 1 inside; pairs with b = 0 are dropped."""
     rows = pairs.filter("b != 0 and a is not null")
-    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    weight = poisson_weight("row_id", "round")
-    ratios = drawn.withColumn("w", weight).groupBy("round").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("b") * F.col("w")), F.lit(0.0))).alias("r"))
+    ratios = drawn(rows, rounds).groupBy("round").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("b") * F.col("w")), F.lit(0.0))).alias("r"))
     side = (1 - level) / 2
     ends = ratios.agg(F.percentile("r", F.lit(side)).alias("low"), F.percentile("r", F.lit(1 - side)).alias("high"))
     point = rows.agg((F.sum("a") / F.sum("b")).alias("ratio"), F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
@@ -148,9 +156,7 @@ def bootstrap_ratio(pairs: DataFrame, rounds: int = 200, level: float = 0.95) ->
 
 def bootstrap_median_ratio(pairs: DataFrame, rounds: int = 200, level: float = 0.95) -> DataFrame:
     """Ratio of medians of paired (row_id, a, b) with a percentile interval and whether it crosses 1; draws whose lower median isn't positive are dropped."""
-    drawn = pairs.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    drawn = drawn.withColumn("w", poisson_weight("row_id", "round").cast("bigint")).filter("w > 0")
-    both = drawn.groupBy("round").agg(F.percentile("a", F.lit(0.5), F.col("w")).alias("a"), F.percentile("b", F.lit(0.5), F.col("w")).alias("b"))
+    both = drawn(pairs, rounds).withColumn("w", F.col("w").cast("bigint")).filter("w > 0").groupBy("round").agg(F.percentile("a", F.lit(0.5), F.col("w")).alias("a"), F.percentile("b", F.lit(0.5), F.col("w")).alias("b"))
     ratios = both.filter("b > 0").select((F.col("a") / F.col("b")).alias("r"))
     side = (1 - level) / 2
     ends = ratios.agg(F.percentile("r", F.lit(side)).alias("low"), F.percentile("r", F.lit(1 - side)).alias("high")).withColumn("_k", F.lit(1))
@@ -163,9 +169,7 @@ def bootstrap_quantile(values: DataFrame, key: str, value: str, p: float, rounds
 
     Weights are summed per distinct value before they are ordered, so no group is collected."""
     rows = values.filter(F.col(value).isNotNull()).select(key, "row_id", F.col(value).alias("x"))
-    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(-1), F.lit(rounds - 1))))
-    weight = F.when(F.col("round") < 0, 1).otherwise(poisson_weight("row_id", "round"))
-    summed = drawn.groupBy(key, "round", "x").agg(F.sum(weight).alias("w")).filter("w > 0")
+    summed = drawn(rows, rounds, -1).groupBy(key, "round", "x").agg(F.sum("w").alias("w")).filter("w > 0")
     w = Window.partitionBy(key, "round")
     upto = summed.withColumns({"upto": F.sum("w").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("w").over(w)})
     q = upto.filter(F.col("upto") >= F.col("n") * p).groupBy(key, "round").agg(F.min("x").alias("q"))

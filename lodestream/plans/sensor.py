@@ -459,7 +459,10 @@ a AS (SELECT sensor, max(t10) FILTER (WHERE seq = 31) AS c, max(h10) FILTER (WHE
   FROM z GROUP BY 1)
 SELECT sensor, q.question, q.answer FROM (SELECT sensor, unnest([{', '.join(f"{{'question': '{k}', 'answer': CAST({v} AS VARCHAR)}}" for k, v in ANSWERS.items())}]) AS q FROM a WHERE p IS NOT NULL)"""
 #: Rows drawn with replacement: Poisson weights from a hash of row and round.
-DRAWN = "rows AS ({{rows}}), d AS (SELECT *, {weight} AS w FROM (SELECT *, CAST(('0x' || substr(md5(row_id || ':' || round), 1, 6)) AS INTEGER) / 16777216.0::DOUBLE AS u FROM rows, range(100) t(round)))".format(weight=M.poisson_sql("u"))
+MIX = "(xor({x}, {x} >> 16) * 73244475) % 4294967296"
+DRAWN = "rows AS ({{rows}}), d AS (SELECT *, {weight} AS w FROM (SELECT *, xor(c, c >> 16) / 4294967296.0::DOUBLE AS u FROM (SELECT *, {c} AS c FROM (SELECT *, {b} AS b_ FROM (SELECT *, (h + round * 2654435769) % 4294967296 AS a_ FROM (SELECT *, CAST(('0x' || substr(md5(row_id), 1, 8)) AS BIGINT) AS h FROM rows), range(100) t(round))))))".format(
+    weight=M.poisson_sql("u"), b=MIX.format(x="a_"), c=MIX.format(x="b_")
+)
 BOOT_QUANTILE = f"""{WITH}, {DRAWN}, s AS (SELECT status, round, x, sum(w) AS w FROM (SELECT status, round, x, w FROM d UNION ALL SELECT status, -1, x, 1 FROM rows) GROUP BY 1, 2, 3 HAVING sum(w) > 0),
 c AS (SELECT *, sum(w) OVER (PARTITION BY status, round ORDER BY x) AS upto, sum(w) OVER (PARTITION BY status, round) AS n FROM s), q AS (SELECT status, round, CAST(min(x) AS DOUBLE) AS q FROM c WHERE upto >= n * 0.5 GROUP BY 1, 2)
 SELECT status, max(q) FILTER (WHERE round < 0) AS value, round(quantile_cont(q, 0.025) FILTER (WHERE round >= 0), 6) AS low, round(quantile_cont(q, 0.975) FILTER (WHERE round >= 0), 6) AS high FROM q GROUP BY 1"""
