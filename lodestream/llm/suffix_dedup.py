@@ -81,18 +81,23 @@ def _block_runs(text: np.ndarray, base: np.ndarray, lengths: np.ndarray, first:
     if span > width:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
     windows = np.maximum(lengths - MATCH + 1, 0)
-    doc = np.repeat(np.arange(len(lengths)), windows)
-    if not len(doc):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-    key = least[base[doc] + place]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-    start = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    new = np.flatnonzero((np.arange(len(doc)) - start) % RUN == 0)
-    last = np.append(new[1:] - 1, len(doc) - 1)
-    key = key[new]  # a least hash is small, so mix it again before hashes are dealt by their size
+    new = np.empty(len(least), bool)
+    new[0] = True
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    edges = np.concatenate((base[windows > 0], (base + windows)[windows > 0]))
+    new[edges[edges < len(new)]] = True
+    new = np.flatnonzero(new)
+    doc = np.searchsorted(base, new, side="right") - 1
+    real = new < base[doc] + windows[doc]  # a window must not cross into the next document
+    until = np.append(new[1:], len(least))[real] - 1
+    new, doc = new[real], doc[real]
+    many = (until - new) // RUN + 1
+    part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    doc, new, until = np.repeat(doc, many), np.repeat(new, many) + part * RUN, np.repeat(until, many)
+    last = np.minimum(until, new + RUN - 1)
+    key = least[new]  # a least hash is small, so mix it again before hashes are dealt by their size
     key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return (doc[new] + first).astype(np.int32), place[new].astype(np.int32), place[last].astype(np.int32), key ^ (key >> np.uint64(32))
+    return (doc + first).astype(np.int32), (new - base[doc]).astype(np.int32), (last - base[doc]).astype(np.int32), key ^ (key >> np.uint64(32))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:

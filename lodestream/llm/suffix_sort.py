@@ -34,7 +34,7 @@ def room(n: int, kind) -> np.ndarray:
     if n * np.dtype(kind).itemsize <= 1 << 16:
         return np.zeros(n, kind)
     with tempfile.TemporaryFile() as f:
-        return np.memmap(f, kind, "w+", shape=(n,))
+        return np.asarray(np.memmap(f, kind, "w+", shape=(n,)))
 
 
 class Queues:
@@ -72,32 +72,36 @@ class Queues:
 
     def pop(self, q: int, most: int) -> tuple[np.ndarray, ...]:
         """The next tuples of a queue, ``most`` at a time."""
-        part = self.parts[q].popleft()
-        if isinstance(part[0], int):
-            at, n, start = part
-            count = min(most, n - start)
-            out = []
-            for kind in self.kinds:
-                size = np.dtype(kind).itemsize
-                self.file.seek(at + start * size)
-                out.append(np.frombuffer(self.file.read(count * size), kind))
-                at += n * size
-            if start + count < n:
-                self.parts[q].appendleft((part[0], n, start + count))
-        else:
-            out = [x[:most] for x in part]
-            self.inside -= len(out[0])
-            if len(part[0]) > most:
-                self.parts[q].appendleft(tuple(x[most:] for x in part))
-        self.size[q] -= len(out[0])
-        return tuple(out)
+        got, parts = [], self.parts[q]
+        while most and parts:
+            part = parts.popleft()
+            if isinstance(part[0], int):
+                at, n, start = part
+                count = min(most, n - start)
+                out = []
+                for kind in self.kinds:
+                    size = np.dtype(kind).itemsize
+                    self.file.seek(at + start * size)
+                    out.append(np.frombuffer(self.file.read(count * size), kind))
+                    at += n * size
+                if start + count < n:
+                    parts.appendleft((part[0], n, start + count))
+            else:
+                count = min(most, len(part[0]))
+                out = [x[:count] for x in part]
+                self.inside -= count
+                if len(part[0]) > count:
+                    parts.appendleft(tuple(x[count:] for x in part))
+            got.append(out)
+            most -= count
+            self.size[q] -= count
+        if len(got) == 1:
+            return tuple(got[0])
+        return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, kind) for k, kind in enumerate(self.kinds))
 
     def rest(self, q: int) -> tuple[np.ndarray, ...]:
         """All tuples of a queue."""
-        got = []
-        while self.size[q]:
-            got.append(self.pop(q, 1 << 62))
-        return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, kind) for k, kind in enumerate(self.kinds))
+        return self.pop(q, 1 << 62)
 
     def close(self) -> None:
         if self.file is not None:
@@ -174,8 +178,9 @@ class _Induction:
         chosen = np.flatnonzero((at > 0) & self.wanted[before])
         if len(chosen):
             where = before[chosen]
-            symbol = self.text[where].astype(np.int64)
-            order = np.argsort(symbol, kind="stable")
+            symbol = self.text[where]
+            order = np.argsort(symbol, kind="stable")  # bytes are sorted by radix
+            symbol = symbol.astype(np.int64)
             k, s = chosen[order], symbol[order]
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             since = np.concatenate(([0], k[:-1] + 1))
@@ -192,7 +197,7 @@ class _Induction:
             lcp_of = np.empty(len(chosen), np.uint8)
             lcp_of[order] = value
             range_of = self.ranges.of[symbol]
-            deal = np.argsort(range_of, kind="stable")
+            deal = order if self.ranges.number == len(self.ranges.of) else np.argsort(range_of, kind="stable")
             q = range_of[deal]
             cuts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1], [True])))
             columns = symbol[deal].astype(np.int32), where[deal], lcp_of[deal]
@@ -370,7 +375,7 @@ def _names(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, ranges: _Rang
                 code = np.where(inside, 2 * text[at].astype(np.uint64) + small[at] + np.uint64(1), np.uint64(0))
                 word = (word << np.uint64(bits)) | code
             g = group[alike]
-            by = np.lexsort((word, g)) if done else np.argsort(word, kind="stable")
+            by = np.lexsort((word, g)) if done else np.argsort(word)
             order[alike], word = rows[by], word[by]
             near = g[1:] == g[:-1]
             part = near & (word[1:] != word[:-1])
@@ -438,7 +443,7 @@ def _in_memory(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The recursion's end: as ``descending``, by doubling ranks, for a text that fits the budget."""
     rank, width = text.astype(np.int64) + 1, 1
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         ordered = rank[order]
         fresh = np.concatenate(([1], (ordered[1:] != ordered[:-1]).astype(np.int64)))
         dense = np.cumsum(fresh)
