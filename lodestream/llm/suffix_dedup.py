@@ -167,9 +167,13 @@ def first_owners(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners
     equal windows that goes on in the next block is held until it ends."""
     found, none = room(len(text), np.int64), NO_ID
     found[:] = none
+    string = room(len(text), np.int32)
+    for a in range(0, len(starts), 1 << 18):
+        part = np.repeat(np.arange(a, min(len(starts), a + (1 << 18)), dtype=np.int32), sizes[a : a + (1 << 18)] + 1)
+        string[starts[a] : starts[a] + len(part)] = part
     held_at, held_least = np.zeros(0, np.int64), NO_ID
     for at, lcp in descending(text, 256, MATCH, budget):
-        own = np.searchsorted(starts, at, side="right") - 1
+        own = string[at]
         whole = at - starts[own] <= sizes[own] - MATCH
         group = np.cumsum(lcp < MATCH)
         at, own, group = at[whole], own[whole], group[whole]
@@ -186,7 +190,7 @@ def first_owners(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners
     step = 1 << 18
     for a in range(0, len(starts), step):
         low, high = int(starts[a]), int(starts[min(len(starts), a + step) - 1] + sizes[min(len(starts), a + step) - 1]) + 1
-        here, own = found[low:high], np.repeat(np.arange(a, min(len(starts), a + step)), sizes[a : a + step] + 1)
+        here, own = found[low:high], string[low:high].astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (here[1:] != here[:-1]))))
         end = np.append(new[1:], len(here)) - 1
         real = here[new] != none

@@ -441,18 +441,22 @@ def _parts(pos: np.ndarray, lcp: np.ndarray, a: int, b: int, up: bool) -> Iterat
 
 def _in_memory(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The recursion's end: as ``descending``, by doubling ranks, for a text that fits the budget."""
-    rank, width = text.astype(np.int64) + 1, 1
-    while True:
-        order = np.argsort(rank)
-        ordered = rank[order]
-        fresh = np.concatenate(([1], (ordered[1:] != ordered[:-1]).astype(np.int64)))
-        dense = np.cumsum(fresh)
-        if width >= depth or dense[-1] == len(text):
+    n, width = len(text), 1
+    order = np.argsort(text)
+    rank, alike, key = np.empty(n, np.int64), np.arange(n), text[order]
+    while True:  # a suffix's rank is the place of the first of its group; only groups of several are sorted on
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        first = np.flatnonzero(fresh)
+        rank[order[alike]] = alike[np.repeat(first, np.diff(np.append(first, len(alike))))]
+        several = np.repeat(np.diff(np.append(first, len(alike))) > 1, np.diff(np.append(first, len(alike))))
+        alike = alike[several]
+        if width >= depth or not len(alike):
             break
-        rank[order] = dense
-        second = np.zeros(len(text), np.int64)
-        second[: len(text) - width] = rank[width:]
-        rank, width = rank * (dense[-1] + 1) + second, 2 * width
+        at = order[alike]
+        after = at + width
+        key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[alike], key, width = at[by], key[by], 2 * width
     common = np.zeros(len(text), np.uint8)
     common[1:] = _common(text, order[1:], order[:-1], depth)
     return order[::-1], np.append(np.zeros(1, np.uint8), common[:0:-1])
