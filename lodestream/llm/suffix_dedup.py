@@ -37,7 +37,7 @@ BORDER = 0xFF
 #: Anchors in a bucket, bytes of text that are hashed at a time (a document may be longer), windows in a run, bytes that a split of the scan may have.
 BUCKET, BLOCK, RUN, SPLIT = 1_500_000, 1 << 20, 128, 32 << 20
 #: Bytes of text for which there is a shard; a shard gets the strings of shared anchors, up to four times as much if all are.
-SHARD = 8 << 20
+SHARD = 2 << 20
 NO_ID = 2**63 - 1
 
 
