@@ -32,7 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings that an earlier document has are cut out; n_chars follows. Every row stays, null texts become empty."""
-    return suffix_dedup.drop_repeats(docs, stored=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffix_dedup.drop_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

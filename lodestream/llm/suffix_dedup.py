@@ -3,17 +3,18 @@
 A string of ``MATCH`` bytes that occurs twice has the same least hash among its ``GRAM``-byte substrings, its anchor. So every
 text is cut into runs of window starts that share an anchor:
 
-1. Each input partition sends its distinct anchors to buckets; a bucket answers, bit by bit, which of them
+1. Each chunk of the input sends its distinct anchors to buckets; a bucket answers, bit by bit, which of them
    another document has too.
-2. For shared anchors a partition sends the distinct strings of its runs, each with the least and the greatest id that has it there, to
-   the anchor's shard. So a hot anchor or a text of which there are many copies costs a shard a string for each partition, however often
-   it occurs. A shard writes the distinct strings to a scratch file and sorts all their suffixes by external induced
+2. For shared anchors a chunk sends the distinct strings of its runs, each with the least and the greatest id that has it there, to
+   the anchor's bin. So a hot anchor or a text of which there are many copies costs a bin a string for each chunk, however often
+   it occurs. A bin writes the distinct strings to a scratch file, in shards by anchor, and sorts all suffixes of a shard by external induced
    sorting; the order comes out block by block, and where common prefixes reach ``MATCH``, the least id that has a window is read off.
-3. Stretches of windows that a smaller id has go back to the partitions, which apply them to each occurrence and remove
+3. Stretches of windows that a smaller id has go back to the chunks, which apply them to each occurrence and remove
    the bytes they cover.
 
-Texts never leave their partition: results come back by partition number and are zipped with it. Every exchange
-holds arrays compressed as blobs. The partitions of the scan are fixed, so a lost task reads the same rows again.
+Chunks are written once, as compressed Arrow, and meet what comes back for them by their number: a task holds one chunk of
+bounded size at a time, whatever the splits of the scan. Every exchange holds arrays compressed as blobs. Chunks are
+stored, so a lost task reads the same rows again.
 """
 
 from __future__ import annotations
@@ -22,22 +23,28 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .suffix_sort import BUDGET, descending, room
-from .util import materialize, read, release, sent_back
+from .util import materialize, read, release, slices
 
 MATCH, GRAM = 50, 16
 #: Byte between the strings of a shard: never part of UTF-8.
 BORDER = 0xFF
-#: Anchors in a bucket, bytes of text that are hashed at a time (a document may be longer), windows in a run, bytes that a split of the scan may have.
-BUCKET, BLOCK, RUN, SPLIT = 1_500_000, 1 << 20, 128, 32 << 20
-#: Bytes of text for which there is a shard; a shard gets the strings of shared anchors, up to four times as much if all are.
-SHARD = 2 << 20
+#: Anchors in a bucket, bytes of text that are hashed at a time (a document may be longer), windows in a run, bytes of text in a chunk (a document may be longer).
+BUCKET, BLOCK, RUN, CHUNK = 1_500_000, 1 << 20, 128, 12 << 20
+#: Bytes of strings that are sorted at a time, and of text for which there is a bin: SHARD, but BIN for what is beyond MANY bins, as every chunk
+#: sends something to every bin. A bin gets the strings of shared anchors, up to four times as much if all are.
+SHARD, BIN, MANY = 2 << 20, 32 << 20, 256
+#: Parts of a bin, by anchor, that are told apart; the tag of stretches among answers.
+LEVELS, SPANS = 256, -1
 NO_ID = 2**63 - 1
 
 
@@ -118,16 +125,21 @@ def shared_anchors(blobs: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return out
 
 
-def _own_anchors(doc: np.ndarray, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Ascending distinct anchor hashes; the lowest bit is set if documents with two ids have it."""
-    h, who = h & ~np.uint64(1), ids[doc]
+def _grouped(doc: np.ndarray, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs by anchor: their order, where each anchor's begin, and the anchors (lowest bit: documents with two ids have it)."""
+    h = h & ~np.uint64(1)
     order = np.argsort(h, kind="stable")
-    h, who = h[order], who[order]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    h, who = h[order], ids[doc[order]]
     if not len(h):
-        return h
+        return order, np.zeros(0, np.int64), h
+    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     several = np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts)
-    return h[starts] | several.astype(np.uint64)
+    return order, starts, h[starts] | several.astype(np.uint64)
+
+
+def _own_anchors(doc: np.ndarray, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ascending distinct anchor hashes; the lowest bit is set if documents with two ids have it."""
+    return _grouped(doc, h, ids)[2]
 
 
 def _cuts(h: np.ndarray, parts: int) -> np.ndarray:
@@ -140,15 +152,14 @@ def shared_strings(texts: list[bytes], ids: np.ndarray, answers: list[tuple[int,
     """Runs whose anchor another document has: (document number, first window's place, string's number) of each, and of each distinct string
     (bytes, anchor's hash, least id, greatest id). The same texts and answers give the same numbers."""
     doc, first, last, h = runs(texts)
-    own = _own_anchors(doc, h, ids)
+    order, starts, own = _grouped(doc, h, ids)
     cut = _cuts(own, buckets)
     shared = np.zeros(len(own), bool)
     for bucket, bits in answers:
         n = cut[bucket + 1] - cut[bucket]
         shared[cut[bucket] : cut[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-    hit = np.flatnonzero(shared[np.searchsorted(own | np.uint64(1), h | np.uint64(1))]) if len(own) else np.zeros(0, np.int64)
-    hit = hit[np.argsort(h[hit], kind="stable")]
-    doc, first, last, h = doc[hit], first[hit], last[hit], h[hit]
+    hit = order[np.repeat(shared, np.diff(np.append(starts, len(order))))]
+    doc, first, last, h = doc[hit], first[hit], last[hit], h[hit] & ~np.uint64(1)
     known: dict[bytes, int] = {}
     spans = zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)
     which = np.fromiter((known.setdefault(texts[d][a : b + MATCH], len(known)) for d, a, b in spans), np.int64, len(doc))
@@ -167,17 +178,20 @@ def first_owners(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners
     equal windows that goes on in the next block is held until it ends."""
     found, none = room(len(text), np.int64), NO_ID
     found[:] = none
-    string = room(len(text), np.int32)
+    string, starting = room(len(text), np.int32), room(len(text), bool)
     for a in range(0, len(starts), 1 << 18):
-        part = np.repeat(np.arange(a, min(len(starts), a + (1 << 18)), dtype=np.int32), sizes[a : a + (1 << 18)] + 1)
-        string[starts[a] : starts[a] + len(part)] = part
+        size = sizes[a : a + (1 << 18)] + 1
+        part = np.repeat(np.arange(a, a + len(size), dtype=np.int32), size)
+        here = slice(starts[a], starts[a] + len(part))
+        string[here] = part
+        starting[here] = np.arange(len(part)) <= np.repeat(np.cumsum(size) - 1 - MATCH, size)
     held_at, held_least = np.zeros(0, np.int64), NO_ID
-    for at, lcp in descending(text, 256, MATCH, budget):
+    for at, lcp in descending(text, 256, MATCH, budget, starting):
+        whole = starting[at]
+        group = np.cumsum(lcp < MATCH, dtype=np.int32)
+        at, group = at[whole], group[whole]
         own = string[at]
-        whole = at - starts[own] <= sizes[own] - MATCH
-        group = np.cumsum(lcp < MATCH)
-        at, own, group = at[whole], own[whole], group[whole]
-        at, group = np.concatenate((held_at, at)), np.concatenate((np.zeros(len(held_at), np.int64), group))
+        at, group = np.concatenate((held_at, at)), np.concatenate((np.zeros(len(held_at), np.int32), group))
         value = np.concatenate((np.full(len(held_at), held_least), owners[own]))
         if not len(at):
             continue
@@ -198,50 +212,77 @@ def first_owners(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners
         yield own[new], new + low - starts[own[new]], end + low - starts[own[new]], np.array(here[new])
 
 
-def settle(blobs: list[tuple[int, int, bytes, bytes]], budget: int = BUDGET) -> Iterator[tuple[int, bytes]]:
-    """A shard's answers from (partition, strings, their numbers and sizes and ids, their bytes): for each partition, of its strings the stretches of
-    windows that an id has which is smaller than the greatest id of the string there.
+def _levels(anchor: np.ndarray, bucket: int, bins: int) -> np.ndarray:
+    """Where anchors lie in their bin, in LEVELS parts."""
+    inside = (anchor - np.uint64(-(-(bucket << 64) // bins))).astype(np.float64)
+    return np.minimum(inside * (LEVELS * bins / 2**64), LEVELS - 1).astype(np.uint8)
 
-    Equal strings of several partitions are one; they are told by 128-bit hashes, and only compressed blobs, hashes and
-    numbers are held, not the strings."""
-    def opened(n: int, meta: bytes):
-        raw = zlib.decompress(meta)
-        return [np.frombuffer(raw[a:b], t) for a, b, t in ((0, 4 * n, np.int32), (4 * n, 5 * n, np.uint8), (5 * n, 13 * n, np.int64), (13 * n, 21 * n, np.int64))]
 
-    signs, sizes, least = [], [], []
+#: What is told of a bin's strings: number, windows less one, level, least id, greatest id.
+META = np.int32, np.uint8, np.uint8, np.int64, np.int64
+
+
+def _opened(n: int, meta: bytes) -> list[np.ndarray]:
+    raw, at, out = zlib.decompress(meta), 0, []
+    for kind in META:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def settle(blobs: list[tuple[int, int, bytes, bytes]], budget: int = BUDGET, shard: int = SHARD) -> Iterator[tuple[int, bytes]]:
+    """A bin's answers from (chunk, strings, what is told of them, their bytes): for each chunk, of its strings the stretches of
+    windows that an id has which is smaller than the greatest id of the string there.
+
+    Equal strings of several chunks are one; they are told by 128-bit hashes, and only compressed blobs, hashes and
+    numbers are held. Distinct strings go to a scratch file, in shards of about ``shard`` bytes, or one level, that are sorted one after another."""
+    known: dict[bytes, int] = {}
+    which, sizes, least, levels, opener = [], [], [], [], zstandard.ZstdDecompressor()
     for _, n, meta, data in blobs:
-        _, size, low, _ = opened(n, meta)
-        text, ends = zstandard.decompress(data), np.cumsum(size.astype(np.int64) + MATCH).tolist()
-        signs.append(np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *ends], ends, strict=False)]), "V16"))
-        sizes.append(size.astype(np.int64) + MATCH)
+        _, size, level, low, _ = _opened(n, meta)
+        size = size.astype(np.int64) + MATCH
+        text, ends = opener.decompress(data), np.cumsum(size).tolist()
+        of = xxhash.xxh3_128_digest
+        which.append(np.fromiter((known.setdefault(of(text[a:b]), len(known)) for a, b in zip([0, *ends], ends, strict=False)), np.int64, n))
+        sizes.append(size)
         least.append(low)
-    edges = np.cumsum([0, *map(len, signs)])
-    _, first, which = np.unique(np.concatenate(signs), return_index=True, return_inverse=True)
-    by_place = np.argsort(first, kind="stable")  # strings are numbered as they first occur
-    number = np.empty(len(first), np.int64)
-    number[by_place] = np.arange(len(first))
-    which, first = number[which], first[by_place]
-    size = np.concatenate(sizes)[first]
-    owners = np.full(len(first), NO_ID, np.int64)
-    np.minimum.at(owners, which, np.concatenate(least))
-    starts = np.cumsum(size + 1) - size - 1
-    text, at = room(int(size.sum()) + len(size), np.uint8), 0
-    for k, (_, _, _, data) in enumerate(blobs):
-        raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-        mine = first[(first >= edges[k]) & (first < edges[k + 1])] - edges[k]
-        ends = np.cumsum(sizes[k])
-        for j in mine.tolist():
-            stop = at + int(sizes[k][j])
-            text[at:stop] = raw[ends[j] - sizes[k][j] : ends[j]]
-            text[stop] = BORDER
-            at = stop + 1
-    found = [np.concatenate(x) for x in zip(*first_owners(text, starts, size, owners, budget), strict=True)]
-    if not found:
+        levels.append(level)
+    if not known:
         return
-    string, a, b, owner = found
-    begin = np.searchsorted(string, np.arange(len(first) + 1))
-    for k, (part, n, meta, _) in enumerate(blobs):
-        numbers, _, _, greatest = opened(n, meta)
+    count, edges = len(known), np.cumsum([0, *map(len, which)])
+    known.clear()
+    which = np.concatenate(which)
+    first = np.flatnonzero(np.concatenate(([True], which[1:] > np.maximum.accumulate(which)[:-1])))  # strings are numbered as they first occur
+    level, size = np.concatenate(levels)[first], np.concatenate(sizes)[first]
+    part = (np.cumsum(np.bincount(level, size + 1, LEVELS)) // shard)[level]
+    order = np.argsort(part, kind="stable")  # now as they lie in the scratch file
+    rank = np.empty(count, np.int64)
+    rank[order] = np.arange(count)
+    which, size, part = rank[which], size[order], part[order]
+    owners = np.full(count, NO_ID, np.int64)
+    np.minimum.at(owners, which, np.concatenate(least))
+    ends = np.cumsum(size + 1)
+    starts = ends - size - 1
+    text = room(int(ends[-1]), np.uint8)
+    text[ends - 1] = BORDER
+    for k, (*_, data) in enumerate(blobs):
+        mine = first[np.searchsorted(first, edges[k]) : np.searchsorted(first, edges[k + 1])]
+        if len(mine):
+            raw, new = np.frombuffer(opener.decompress(data), np.uint8), which[mine]
+            own, begin = size[new], (np.cumsum(sizes[k]) - sizes[k])[mine - edges[k]]
+            step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            text[np.repeat(starts[new], own) + step] = raw[np.repeat(begin, own) + step]
+            del raw, step
+    found = []
+    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        low = int(starts[a])
+        found += [(string + a, *rest) for string, *rest in first_owners(text[low : int(ends[b - 1])], starts[a:b] - low, size[a:b], owners[a:b], budget)]
+    string, a, b, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = a.astype(np.uint8), b.astype(np.uint8)
+    begin = np.concatenate(([0], np.cumsum(np.bincount(string, minlength=count))))
+    for k, (chunk, n, meta, _) in enumerate(blobs):
+        numbers, *_, greatest = _opened(n, meta)
         mine = which[edges[k] : edges[k + 1]]
         many = (begin[1:] - begin[:-1])[mine]
         row = np.repeat(np.arange(n), many)
@@ -249,7 +290,7 @@ def settle(blobs: list[tuple[int, int, bytes, bytes]], budget: int = BUDGET) ->
         lost = owner[stretch] < greatest[row]
         row, stretch = row[lost], stretch[lost]
         if len(row):
-            yield part, _pack(numbers[row], a[stretch].astype(np.uint8), b[stretch].astype(np.uint8), owner[stretch])
+            yield chunk, _pack(numbers[row], a[stretch], b[stretch], owner[stretch])
 
 
 def lost_spans(doc: np.ndarray, first: np.ndarray, which: np.ndarray, ids: np.ndarray, strings: int, blobs: list[bytes]) -> np.ndarray:
@@ -287,111 +328,133 @@ def covered(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], spans[starts, 1], reach[ends] - spans[starts, 0] * (1 << 40)], axis=1)
 
 
-def fixed_scan(table: DataFrame):
-    """The rows of a stored table as an RDD whose partitions are fixed: splits of SPLIT bytes at most, whatever the session reads elsewhere."""
-    conf, key = table.sparkSession.conf, "spark.sql.files.maxPartitionBytes"
-    before = conf.get(key)
-    smaller = table.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > SPLIT
-    try:
-        if smaller:
-            conf.set(key, str(SPLIT))
-        rows = table.rdd
-        rows.getNumPartitions()  # splits are made here
-    finally:
-        if smaller:
-            conf.set(key, before)
-    return rows
+def chunks(plain: DataFrame) -> DataFrame:
+    """(chunk, size, rows): the rows of (doc_id, text, ...) in parts of about CHUNK bytes of text, or one document, as compressed Arrow."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+
+        def packed(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+            nonlocal number
+            sink, table = pa.BufferOutputStream(), pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "size", "rows"])
 
+        held, size, most = [], 0, 0
+        for batch in slices(batches):
+            start = 0
+            for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+                size, most = size + n, most + n + 64
+                if most >= CHUNK:
+                    yield packed([*held, batch.slice(start, k + 1 - start)], size)
+                    held, size, most, start = [], 0, 0, k + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield packed(held, size)
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    return plain.mapInArrow(run, "chunk bigint, size bigint, rows binary")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept binary, spans array<struct<start, stop>> of the maximal removed runs.
 
     Every byte goes that a string of ``MATCH`` bytes covers which also starts in a document with a smaller id. Null
     texts are empty, null ids come after all others, rows with one id don't count as each other's earlier documents; an
     empty table gives no rows. The columns in ``carry`` come along. With
-    ``as_text`` kept is a string, without what is left of a cut character. ``docs`` is written to the shared folder first unless it is ``stored``, a plain read of a table.
+    ``as_text`` kept is a string, without what is left of a cut character. ``docs`` is read once and written to the shared folder in chunks.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
-    if not stored:
-        plain = materialize(plain, "suffix-docs")
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    base = fixed_scan(plain)
+    stored = materialize(chunks(plain), "suffix-chunks")
+    total = stored.agg(F.sum("size")).first()[0] or 0
+    base = stored.select("chunk", "rows")
     buckets = max(12, -(-total * 2 // ((MATCH - GRAM + 2) * BUCKET)))
-    shards = max(12, -(-total // SHARD))
-
-    def rows_of(rows):
-        ids, texts = [], []
-        for doc, text, *_ in rows:
-            ids.append(NO_ID if doc is None else doc)
-            texts.append(text.encode())
-        return np.array(ids, np.int64), texts
-
-    def send_anchors(part, rows):
-        ids, texts = rows_of(rows)
-        doc, _, _, h = runs(texts)
-        own = _own_anchors(doc, h, ids)
-        cut = _cuts(own, buckets)
-        for k in range(buckets):
-            if cut[k + 1] > cut[k]:
-                yield k, (part, own[cut[k] : cut[k + 1]].tobytes())
+    bins = max(12, min(-(-total // SHARD), MANY + -(-total // BIN)))
+
+    def rows_of(blob) -> tuple[np.ndarray, list[bytes], pa.Table]:
+        table = pa.ipc.open_stream(blob).read_all()
+        return table.column(0).fill_null(NO_ID).to_numpy(), table.column(1).cast(pa.binary()).to_pylist(), table
+
+    def send_anchors(batches):
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, texts, _ = rows_of(blob.as_buffer())
+                doc, _, _, h = runs(texts)
+                own = _own_anchors(doc, h, ids)
+                cut = _cuts(own, buckets)
+                full = np.flatnonzero(np.diff(cut))
+                hashes = pa.array([own[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, np.int64)), hashes], names=["bucket", "chunk", "hashes"])
+        release()
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = shared_anchors([(c, h.as_buffer()) for c, h in zip(table.column("chunk").to_pylist(), table.column("hashes"), strict=True)])
         release()
+        chunk, bits = zip(*out, strict=True)
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "tag": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()), "found": pa.array(bits, pa.binary())})
+
+    def tagged(table: pa.Table):
+        return zip(table.column("tag").to_pylist(), (x.as_buffer() for x in table.column("found")), strict=True)
 
-    def answer(item):
-        bucket, blobs = item
-        for part, bits in shared_anchors(list(blobs)):
-            yield part, (bucket, bits)
-
-    def send_strings(part, pairs):
-        for rows, answers in pairs:
-            ids, texts = rows_of(rows)
-            rows.clear()
-            if not answers:
-                continue
-            _, _, _, strings, anchor, least, greatest = shared_strings(texts, ids, [x for _, x in answers], buckets)
+    def send_strings(here: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        if here.num_rows and answers.num_rows:
+            ids, texts, _ = rows_of(here.column("rows")[0].as_buffer())
+            _, _, _, strings, anchor, least, greatest = shared_strings(texts, ids, list(tagged(answers)), buckets)
             texts.clear()
-            edges = _cuts(anchor, shards)  # strings come by anchor
-            for k in range(shards):
+            edges = _cuts(anchor, bins)  # strings come by anchor
+            closer = zstandard.ZstdCompressor(3)
+            for k in np.flatnonzero(np.diff(edges)).tolist():
                 s = slice(edges[k], edges[k + 1])
-                if edges[k + 1] > edges[k]:
-                    sizes = np.array([len(x) - MATCH for x in strings[s]], np.uint8)
-                    yield k, (part, len(sizes), _pack(np.arange(s.start, s.stop, dtype=np.int32), sizes, least[s], greatest[s]), zstandard.compress(b"".join(strings[s]), 3))
+                sizes = np.array([len(x) - MATCH for x in strings[s]], np.uint8)
+                out.append((k, len(sizes), _pack(np.arange(s.start, s.stop, dtype=np.int32), sizes, _levels(anchor[s], k, bins), least[s], greatest[s]), closer.compress(b"".join(strings[s]))))
         release()
+        k, n, meta, data = zip(*out, strict=True) if out else [()] * 4
+        chunk = [here.column("chunk")[0].as_py()] * len(out) if out else []
+        return pa.table({"bin": pa.array(k, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "n": pa.array(n, pa.int32()), "meta": pa.array(meta, pa.binary()), "data": pa.array(data, pa.binary())})
 
-    def sort_shard(item):
-        yield from settle(list(item[1]))
+    def sort_bin(table: pa.Table) -> pa.Table:
+        columns = [[x.as_buffer() for x in table.column(c)] for c in ("meta", "data")]
+        out = list(settle(list(zip(table.column("chunk").to_pylist(), table.column("n").to_pylist(), *columns, strict=True)), shard=SHARD))
         release()
-
-    def keep(pairs):
-        for rows, answers in pairs:
-            ids, texts = rows_of(rows)
-            bits, found = ([x for _, (tag, x) in answers if tag == t] for t in (0, 1))
-            gone = np.zeros((0, 3), np.int64)
-            if found:
-                doc, first, which, strings, *_ = shared_strings(texts, ids, bits, buckets)
-                gone = covered(lost_spans(doc, first, which, ids, len(strings), found))
-                del strings
-            edges = np.searchsorted(gone[:, 0], np.arange(len(rows) + 1)).tolist()
-            gone = gone[:, 1:].tolist()
-            for k, raw in enumerate(texts):
-                doc, _, *rest = rows[k]
-                at, left, cut = 0, [], gone[edges[k] : edges[k + 1]]
-                texts[k] = rows[k] = None
-                for a, b in cut:
-                    left.append(raw[at:a])
-                    at = b
-                left.append(raw[at:])
-                kept = b"".join(left)
-                yield doc, len(raw), kept.decode("utf-8", "ignore") if as_text else bytearray(kept), [(a, b) for a, b in cut], *rest
+        chunk, found = zip(*out, strict=True) if out else [()] * 2
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "tag": pa.array([SPANS] * len(out), pa.int32()), "found": pa.array(found, pa.binary())})
+
+    def keep(here: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, texts, rows = rows_of(here.column("rows")[0].as_buffer())
+        both = list(tagged(answers))
+        found = [x for tag, x in both if tag == SPANS]
+        gone = np.zeros((0, 3), np.int64)
+        if found:
+            doc, first, which, strings, *_ = shared_strings(texts, ids, [x for x in both if x[0] != SPANS], buckets)
+            gone = covered(lost_spans(doc, first, which, ids, len(strings), found))
+            del strings
+        edges = np.searchsorted(gone[:, 0], np.arange(len(texts) + 1))
+        sizes, spans = pa.array(list(map(len, texts)), pa.int64()), gone[:, 1:].tolist()
+        for k, raw in enumerate(texts):
+            at, left = 0, []
+            for a, b in spans[edges[k] : edges[k + 1]]:
+                left.append(raw[at:a])
+                at = b
+            left.append(raw[at:])
+            kept = b"".join(left)
+            texts[k] = kept.decode("utf-8", "ignore") if as_text else kept
+        both = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(gone[:, k])) for k in (1, 2)], names=["start", "stop"])
+        columns = [rows.column(0), sizes, pa.array(texts, pa.string() if as_text else pa.binary()), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), both)]
+        out = pa.table([*columns, *(rows.column(c) for c in carry)], names=["doc_id", "n_bytes", "kept", "spans", *carry])
         release()
+        return out
 
-    anchors = base.mapPartitionsWithIndex(send_anchors).groupByKey(buckets).flatMap(answer)
-    strings = sent_back(base, anchors).mapPartitionsWithIndex(send_strings)
-    spans = strings.groupByKey(shards).flatMap(sort_shard)
-    both = spark.sparkContext.union([anchors.mapValues(lambda x: (0, x)), spans.mapValues(lambda x: (1, x))])
-    kept = sent_back(base, both).mapPartitions(keep)
+    found = "chunk bigint, tag int, found binary"
+    anchors = base.mapInArrow(send_anchors, "bucket int, chunk bigint, hashes binary")
+    answers = materialize(anchors.groupBy("bucket").applyInArrow(answer, found), "suffix-shared")
+    strings = base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_strings, "bin int, chunk bigint, n int, meta binary, data binary")
+    spans = materialize(strings.groupBy("bin").applyInArrow(sort_bin, found), "suffix-spans")
     schema = T._parse_datatype_string(f"doc_id bigint, n_bytes bigint, kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,stop:bigint>>")
-    return spark.createDataFrame(kept, T.StructType([*schema, *(plain.schema[c] for c in carry)]), verifySchema=False)
+    both = answers.unionByName(spans)
+    return base.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(keep, T.StructType([*schema, *(plain.schema[c] for c in carry)]))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -404,6 +467,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(read(spark, sf_dir, "documents"), stored=True)
+    out = remove_repeats(read(spark, sf_dir, "documents"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", n_removed.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

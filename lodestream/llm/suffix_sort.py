@@ -2,7 +2,7 @@
 
 Suffixes are L (greater than the next one) or S (smaller); an S after an L is a seed. Seeds are named by the order of the
 substrings that reach to the next seed, and if names repeat, the text of the names is sorted by recursion, which also gives
-common prefixes of seeds; a text of names that fits the budget ends it and is sorted in memory. Then L suffixes are induced from the seeds in ascending order and S suffixes from the L ones in
+common prefixes of seeds; a text of names that fits the budget ends it and is sorted in memory, and seeds are compared for theirs. Then L suffixes are induced from the seeds in ascending order and S suffixes from the L ones in
 descending order: whoever comes out of the priority queue puts the suffix before it in.
 
 Tuples are (symbol, place, common prefix with the tuple before it). A symbol's tuples come out in the order in which they
@@ -13,7 +13,8 @@ What is in memory: ``budget`` tuples of the queues, beyond which they are writte
 block, one range of symbols, and four numbers a symbol. Text, types, names and sorted seeds of every level lie in mapped scratch
 files, which the system may drop from memory at any time. Scratch files have no name and go with the process.
 
-Order and values are exact up to ``depth`` symbols, which is all that matches of ``depth`` need.
+Order and values are exact up to ``depth`` symbols, which is all that matches of ``depth`` need. If only some places are asked for,
+all seeds are sorted, but only those induce from which an asked place comes.
 """
 
 from __future__ import annotations
@@ -109,24 +110,39 @@ class Queues:
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes."""
+    """Common prefixes of pairs of suffixes; of bytes eight at a time as far as the text goes."""
     out = np.zeros(len(a), np.int64)
     on = np.arange(len(a))
-    for k in range(depth):
-        x, y = a[on] + k, b[on] + k
-        inside = np.maximum(x, y) < len(text)
+    if text.dtype == np.uint8 and len(text) >= 8:
+        words, late = np.lib.stride_tricks.sliding_window_view(text, 8), []
+        for k in range(0, depth, 8):
+            x, y = a[on] + k, b[on] + k
+            inside = np.maximum(x, y) < len(words)
+            if not inside.all():
+                late.append(on[~inside])
+                on, x, y = on[inside], x[inside], y[inside]
+            differ = (words[x].view("<u8") ^ words[y].view("<u8"))[:, 0]
+            same = differ == 0
+            ended, differ = on[~same], differ[~same]
+            out[ended] = k + np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 8
+            on = on[same]
+            out[on] = k + 8
+            if not len(on):
+                break
+        on = np.concatenate(late) if late else on[:0]
+    while len(on):
+        x, y = a[on] + out[on], b[on] + out[on]
+        inside = (np.maximum(x, y) < len(text)) & (out[on] < depth)
         on, x, y = on[inside], x[inside], y[inside]
         on = on[text[x] == text[y]]
-        if not len(on):
-            break
         out[on] += 1
-    return out
+    return np.minimum(out, depth, out=out)
 
 
 def _least_between(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """min(lcp[a..b]), both included, by a table of powers of two."""
-    level = np.log2(np.maximum(b - a, 0) + 1).astype(np.int64)
-    out = np.empty(len(a), np.int64)
+    level = np.log2(np.maximum(b - a, 0) + 1).astype(np.uint8)
+    out = np.empty(len(a), lcp.dtype)
     table = lcp
     for k in range(int(level.max()) + 1):
         here = np.flatnonzero(level == k)
@@ -173,7 +189,7 @@ class _Induction:
         """Puts in the suffixes before these, which come next in the order; ``lcp``: common prefixes with the one before."""
         if not len(at):
             return
-        lcp = lcp.astype(np.int64)
+        lcp = lcp.astype(np.uint8, copy=False)
         before = at - 1
         chosen = np.flatnonzero((at > 0) & self.wanted[before])
         if len(chosen):
@@ -190,9 +206,9 @@ class _Induction:
             calls, least = (np.array(x, np.int64) for x in zip(*self.stack, (1 << 60, 255), strict=True)) if self.stack else (np.array([1 << 60]), np.array([255]))
             since_then = least[np.searchsorted(calls, self.call[names], side="right")]
             value[first] = np.minimum(value[first], np.minimum(since_then, self.after[names]))
-            value = np.minimum(value + 1, self.depth).astype(np.uint8)
+            value = np.minimum(value, self.depth - 1) + np.uint8(1)
             last = k[np.append(first[1:], len(k)) - 1] + 1
-            tail = np.append(np.minimum.accumulate(lcp[::-1])[::-1], 255)
+            tail = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
             self.after[names], self.call[names] = tail[last], self.calls
             lcp_of = np.empty(len(chosen), np.uint8)
             lcp_of[order] = value
@@ -358,6 +374,9 @@ def _names(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, ranges: _Rang
     names, made = room(m, np.int32), 0
     bits = int(2 * symbols + 2).bit_length()
     per = 64 // bits
+    codes = room(n, np.uint16 if bits <= 16 else np.int64)
+    for a in range(0, n, BLOCK):
+        codes[a : a + BLOCK] = 2 * text[a : a + BLOCK].astype(np.int64) + small[a : a + BLOCK] + 1
     for q in range(ranges.number):
         _, k, _ = queues.rest(q)
         if not len(k):
@@ -372,8 +391,7 @@ def _names(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, ranges: _Rang
             for j in range(done, done + per):
                 inside = j < length[rows]
                 at = np.minimum(start[rows] + j, n - 1)
-                code = np.where(inside, 2 * text[at].astype(np.uint64) + small[at] + np.uint64(1), np.uint64(0))
-                word = (word << np.uint64(bits)) | code
+                word = (word << np.uint64(bits)) | np.where(inside, codes[at], 0).astype(np.uint64)
             g = group[alike]
             by = np.lexsort((word, g)) if done else np.argsort(word)
             order[alike], word = rows[by], word[by]
@@ -391,37 +409,71 @@ def _names(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, ranges: _Rang
     return names, made
 
 
-def _sorted_seeds(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, ranges: _Ranges, symbols: int, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds in order, and common prefixes with the one before."""
+def _needed(seeds: np.ndarray, asked: np.ndarray | None) -> np.ndarray:
+    """Which seeds give an asked place: a seed gives the places from the seed before it on."""
+    need = room(len(seeds), bool)
+    if asked is None:
+        need[:] = True
+        return need
+    number, count = 0, np.zeros(len(asked) // BLOCK + 2, np.int64)  # of asked places before each block
+    for k, a in enumerate(range(0, len(asked), BLOCK)):
+        number += int(np.count_nonzero(asked[a : a + BLOCK]))
+        count[k + 1] = number
+    passed = 0
+    for a in range(0, len(seeds), BLOCK):
+        part = seeds[a : a + BLOCK]
+        below = np.empty(len(part), np.int64)  # asked places before the seed
+        for k in range(int(part[0]) // BLOCK, int(part[-1]) // BLOCK + 1):
+            x, y = np.searchsorted(part, (k * BLOCK, (k + 1) * BLOCK))
+            sums = np.concatenate(([0], np.cumsum(asked[k * BLOCK : (k + 1) * BLOCK])))
+            below[x:y] = count[k] + sums[part[x:y] - k * BLOCK]
+        need[a : a + BLOCK] = np.diff(below, prepend=passed) > 0
+        passed = int(below[-1])
+    return need
+
+
+def _sorted_seeds(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, need: np.ndarray, ranges: _Ranges, symbols: int, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Needed seeds in order, and common prefixes with the one before."""
     m = len(seeds)
     if not m:
         return seeds, np.zeros(0, np.uint8)
     names, made = _names(text, small, seeds, ranges, symbols, depth, budget)
     order, same = room(m, np.int64), room(m, np.uint8)
+    inner = depth // 2 + 1  # a name stands for two symbols at least
     if made == m:
         order[names] = np.arange(m)
+    elif m <= budget:
+        order[:] = _in_memory(names, inner)
     else:
         end = m
-        inner = depth // 2 + 1  # a name stands for two symbols at least
-        for at, lcp in [_in_memory(names, inner)] if m <= budget else descending(names, made, inner, budget):
+        for at, lcp in descending(names, made, inner, budget):
             # a tuple's value is with its greater neighbour, so it belongs to that one here
             order[end - len(at) : end] = at[::-1]
             if end < m:
                 same[end] = lcp[0]
             same[end - len(at) + 1 : end] = lcp[:0:-1]
             end -= len(at)
-    out, common = room(m, np.int64), room(m, np.uint8)
+    count = int(np.count_nonzero(need))
+    out, common, done = room(count, np.int64), room(count, np.uint8), 0
+    last, least = np.zeros(0, np.int64), 255  # the needed one before, the least value since
     for a in range(0, m, BLOCK):
-        k = order[a : a + BLOCK]
-        out[a : a + BLOCK] = seeds[k]
-        before = order[np.maximum(np.arange(a, a + len(k)) - 1, 0)]
-        l = same[a : a + BLOCK].astype(np.int64)
+        k, l = order[a : a + BLOCK], same[a : a + BLOCK]
+        hit = np.flatnonzero(need[k])
+        if not len(hit):
+            least = min(least, int(l.min()))
+            continue
+        values = np.minimum.reduceat(l[: hit[-1] + 1], np.concatenate(([0], hit[:-1] + 1))).astype(np.int64)
+        values[0] = min(values[0], least)
+        least = int(l[hit[-1] + 1 :].min(initial=255))
+        k, l = k[hit], values
+        before = np.concatenate((last if len(last) else k[:1], k[:-1]))
         x, y = np.minimum(k + l, m - 1), np.minimum(before + l, m - 1)
         known = np.minimum(np.where((k + l < m) & (before + l < m), seeds[x] - seeds[k], 0), depth)
         known = np.minimum(known, np.where(l > 0, depth, 0))
         more = _common(text, seeds[k] + known, seeds[before] + known, depth)
-        common[a : a + BLOCK] = np.minimum(known + more, depth)
-    if m:
+        out[done : done + len(k)], common[done : done + len(k)] = seeds[k], np.minimum(known + more, depth)
+        done, last = done + len(k), k[-1:]
+    if count:
         common[0] = 0
     return out, common
 
@@ -439,8 +491,8 @@ def _parts(pos: np.ndarray, lcp: np.ndarray, a: int, b: int, up: bool) -> Iterat
         yield pos[low:k][::-1], later[::-1]
 
 
-def _in_memory(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The recursion's end: as ``descending``, by doubling ranks, for a text that fits the budget."""
+def _in_memory(text: np.ndarray, depth: int) -> np.ndarray:
+    """The recursion's end: suffixes in order, by doubling ranks, for a text that fits the budget."""
     n, width = len(text), 1
     order = np.argsort(text)
     rank, alike, key = np.empty(n, np.int64), np.arange(n), text[order]
@@ -457,13 +509,13 @@ def _in_memory(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         by = np.argsort(key)
         order[alike], key, width = at[by], key[by], 2 * width
-    common = np.zeros(len(text), np.uint8)
-    common[1:] = _common(text, order[1:], order[:-1], depth)
-    return order[::-1], np.append(np.zeros(1, np.uint8), common[:0:-1])
+    return order
+
 
+def descending(text: np.ndarray, symbols: int, depth: int, budget: int = BUDGET, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (places, values): all suffixes from the greatest on, each with its common prefix with the one before it here.
 
-def descending(text: np.ndarray, symbols: int, depth: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (places, values): all suffixes from the greatest on, each with its common prefix with the one before it here."""
+    ``asked`` marks the places that must come; others come only if a seed that gives an asked place gives them too."""
     n = len(text)
     if not n:
         return
@@ -473,10 +525,10 @@ def descending(text: np.ndarray, symbols: int, depth: int, budget: int = BUDGET)
     ranges = _Ranges(counts, max(1024, n // 64))
     small = _types(text)
     seeds = _seeds(small)
+    seeds, common = _sorted_seeds(text, small, seeds, _needed(seeds, asked), ranges, symbols, depth, budget)
     of_seeds = np.zeros(ranges.number, np.int64)
     for a in range(0, len(seeds), BLOCK):
         of_seeds += np.bincount(ranges.of[text[seeds[a : a + BLOCK]]], minlength=ranges.number)
-    seeds, common = _sorted_seeds(text, small, seeds, ranges, symbols, depth, budget)
 
     large = np.invert(small, out=room(n, bool))
     number = int(large.sum())
