@@ -4,9 +4,8 @@ Two multinomials over hashed byte n-grams are estimated: one from trusted docume
 document. A document's score is the mean log ratio of its n-grams, so long and short documents compare. A
 document is kept if it passes the base rules and its score is at least the threshold; nothing is drawn at random.
 
-Counting and scoring each read the corpus once. Only the ``2**BITS`` counts come to the driver, whatever the
-input. All documents labelled good are trusted: their ids are joined, without texts, and sent to the partitions
-that hold them.
+Counting and scoring read the corpus a batch at a time. Only the ``2**BITS`` counts come to the driver, whatever the
+input. All documents labelled good are trusted: a join with their ids finds their texts.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import materialize, read, release, sent_back, slices
+from .util import materialize, read, slices
 
 #: Bytes in an n-gram; bits of its hash.
 GRAM, BITS = 4, 16
@@ -84,31 +83,24 @@ def _raw(column: pa.Array) -> list[bytes]:
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, target, corpus): counts of each hashed n-gram in the trusted documents and in all; each task sums its own first.
 
-    ``docs`` is a stored table (doc_id, text). Only ids are joined: each partition gets those of its ids that are trusted, and texts stay where they are read.
+    ``docs`` is a stored table (doc_id, text). Trusted documents come by a join, which no null id passes; a task holds a batch of texts at a time.
     """
-    base = docs.rdd
-    at = docs.select("doc_id", F.spark_partition_id().alias("part"))
-    good = at.join(trusted.select("doc_id").distinct(), "doc_id").groupBy("part").agg(F.collect_set("doc_id").alias("ids"))  # ids of one split of the scan
-
-    def count(pairs):
-        counts = np.zeros((2, 1 << BITS), np.int64)
-        for rows, answers in pairs:
-            chosen = {i for _, ids in answers for i in ids}
-            while rows:  # a block's texts at a time, each given up once counted
-                block, size = [], 0
-                while rows and size < BLOCK:
-                    i, t = rows.pop()
-                    block.append((i in chosen, (t or "").encode()))
-                    size += len(block[-1][1])
-                for row, texts in ((1, [t for _, t in block]), (0, [t for c, t in block if c])):
-                    counts[row] += np.bincount(buckets(texts)[0], minlength=1 << BITS)
-        seen = np.flatnonzero(counts[1])
-        yield seen.tolist(), counts[0][seen].tolist(), counts[1][seen].tolist()
-        release()
-
-    per_task = sent_back(base, good.rdd.map(lambda r: (r.part, r.ids))).mapPartitions(count)
-    lists = docs.sparkSession.createDataFrame(per_task, "bucket array<int>, target array<bigint>, corpus array<bigint>", verifySchema=False)
-    rows = lists.select(F.inline(F.arrays_zip("bucket", "target", "corpus")))
+
+    def count(batches):
+        counts = np.zeros(1 << BITS, np.int64)
+        for batch in slices(batches):
+            texts = _raw(batch.column(0))
+            for a, b in _blocks(texts):
+                counts += np.bincount(buckets(texts[a:b])[0], minlength=1 << BITS)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["bucket", "n"])
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.select("text").mapInArrow(count, "bucket int, n bigint")
+
+    good = docs.join(trusted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")  # the same at every size
+    none = F.lit(0).cast("bigint")
+    rows = counted(good).select("bucket", F.col("n").alias("target"), none.alias("corpus")).unionByName(counted(docs).select("bucket", none.alias("target"), F.col("n").alias("corpus")))
     return rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("corpus").alias("corpus"))
 
 

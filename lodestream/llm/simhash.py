@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import fresh, materialize, read, release, sent_back, slices
+from .util import fresh, materialize, read, release, slices
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a bucket from which it is dealt again, rows that one call looks at on average, and buckets the sketch proposes and tracks.
@@ -250,7 +250,7 @@ def similar_links(members: DataFrame, percent: int) -> DataFrame:
     dealt = sized.join(parts, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("blocks", F.lit(1)) - 1)))
     dealt = dealt.withColumn("cell", F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))).select("cell", "node", "grams")
-    calls = (parts.join(sized, "part").agg(F.sum("size")).first()[0] or 0) // COMPARED + 1
+    calls = (parts.join(sized, "part").agg(F.sum("size")).first()[0] or 0) // (COMPARED // 4) + 1  # a call holds all of its cells
 
     def run(table: pa.Table) -> pa.Table:
         cell, node, grams = table.column("cell").to_numpy(), table.column("node").to_numpy(), table.column("grams")
@@ -291,19 +291,15 @@ def similar_groups(docs: DataFrame, percent: int, shingle: int, id_col: str = "d
     own = materialize(placed.mapInArrow(first, "row bigint, doc_id bigint, prints array<bigint>, sign binary"), "near-prints")
     nodes = materialize(own.groupBy("sign").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("prints", "row").alias("prints")), "near-nodes")
     close = components(links(nodes, radius, REACH))
-    wanted = close.select(F.shiftright("node", 33).alias("at"), F.struct(F.col("node").bitwiseAND(F.lit(2**33 - 1)).alias("place"), "root").alias("w"))
-    wanted = wanted.groupBy("at").agg(F.collect_list("w").alias("w"))  # rows of one split of the scan
-
-    def second(index, pairs):
-        for rows, answers in pairs:
-            for _, asked in answers:
-                for place, root in asked:
-                    yield root, (index << 33) + place, bytearray(shingle_set((rows[place][1] or "").encode(), shingle).tobytes())
-            rows.clear()
-        release()
 
-    found = sent_back(plain.rdd, wanted.rdd.map(lambda r: (r[0], [tuple(x) for x in r[1]]))).mapPartitionsWithIndex(second)
-    members = materialize(docs.sparkSession.createDataFrame(found, "part bigint, node bigint, grams binary", verifySchema=False), "near-members")
+    def second(batches):
+        for batch in slices(batches):
+            sets = pa.array([shingle_set(t or b"", shingle).tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["part", "node", "grams"])
+
+    # texts come a batch at a time, not a split; the join is the same at every size
+    proposed = placed.join(close.hint("merge"), F.col("row") == F.col("node")).select("root", "node", "text")
+    members = materialize(proposed.mapInArrow(second, "part bigint, node bigint, grams binary"), "near-members")
     roots = components(similar_links(members, percent))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sign", "component_id"), "near-names")

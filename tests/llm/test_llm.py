@@ -737,3 +737,23 @@ def test_a_bin_is_sorted_in_shards(spark, documents, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", 3000)
     monkeypatch.setattr(suffix_dedup, "MANY", 0)
     assert repeats_of(small.coalesce(1)) == brute_repeats([tuple(r) for r in small.collect()])
+
+
+def test_no_task_holds_a_split_of_texts(spark, edge, documents, monkeypatch):
+    """Texts reach the counts and the shingle sets a batch at a time, by a join, not as lists of a whole split; the counts are those of brute force."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    trusted = spark.createDataFrame([(4,), (9,), (99,), (None,)], "doc_id bigint")
+    counts = quality_rules.gram_counts(edge, trusted)
+    rows = [r for r in counts.collect() if r.target or r.corpus]
+    want = np.zeros((2, 1 << quality_rules.BITS), np.int64)
+    for i, t in EDGE:
+        own = np.bincount(quality_rules.buckets([text_of(t).encode()])[0], minlength=1 << quality_rules.BITS)
+        want += [own * (i in (4, 9)), own]
+    assert len(rows) == (want[1] > 0).sum() and all((r.target, r.corpus) == tuple(want[:, r.bucket]) for r in rows)
+    plans, write = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.setdefault(name, plan(df)) and write(df, name))
+    simhash.similar_groups(documents, 80, 5)
+    stored = documents.select("doc_id", "text")
+    for text in (plan(quality_rules.gram_counts(stored, trusted.limit(2))), plans["near-members"]):
+        assert "Join" in text and "MapInArrow" in text and "MapPartitions" not in text and "zip" not in text
+    assert "ExistingRDD" not in plans["near-members"].split("MapInArrow")[0]
